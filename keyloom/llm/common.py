@@ -35,16 +35,17 @@ def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(rid, doc_id, text)``: rid is unique, never null and ordered like the id.
+def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``(rid, doc_id, text, rest)``: rest is a struct of the columns ``carry``; rid is unique, never null and ordered like the id.
 
     Where ids are unique and not null, rid is the id itself. Otherwise rows are numbered in the order
     (id, nulls first; text): range partitions are counted, and each starts where the counts before it end.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     twice = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1)
     if twice.isEmpty():
-        return base.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+        return base.select(F.col("doc_id").alias("rid"), "doc_id", "text", "rest")
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     ranged = cut(base.repartitionByRange(parts_of(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("mono", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("mono"), 33).cast("int")
@@ -55,7 +56,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         at += n
     first = F.create_map(*[F.lit(x) for kv in (starts or {0: 0}).items() for x in kv])
     within = F.col("mono").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.select((F.element_at(first, part).cast("long") + within).alias("rid"), "doc_id", "text")
+    return ranged.select((F.element_at(first, part).cast("long") + within).alias("rid"), "doc_id", "text", "rest")
 
 
 def components(edges: DataFrame) -> DataFrame:
