@@ -1,8 +1,65 @@
-"""The corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, mixing."""
+"""The corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, mixing to target weights.
 
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns the columns of documents; the last
+returns each row's place in the mix. ``run`` writes each stage's result as Parquet into the shared folder the cluster
+names in ``spark.checkpoint.dir`` and reads it back for the next one.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.llm import decontaminate, mixing, quality, simhash, suffix_dedup
+from keyloom.llm.common import table
+
+#: No stage but the last can be put in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality trees do not reject."""
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each SimHash component."""
+    found = simhash.near_duplicates(docs.where("doc_id is not null"))
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated passages; those that nothing is left of go."""
+    out = suffix_dedup.dedup(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    left = out.where("n_removed = 0 or octet_length(kept) > 0").withColumn("text", suffix_dedup.decoded("kept"))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's place in the mix of its sources."""
+    return mixing.mixed(docs)
+
+
+STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("benchmark", benchmark_filter), ("mixing", mix)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-pipeline-")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        at = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return STAGES[-1][1](spark, docs, sf_dir)
