@@ -41,7 +41,7 @@ def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     Where ids are unique and not null, rid is the id itself. Otherwise rows are numbered in the order
     (id, nulls first; text): range partitions are counted, and each starts where the counts before it end.
     """
-    rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.col("doc_id").cast("long")  # a constant would be moved above the shuffle
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     twice = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1)
     if twice.isEmpty():

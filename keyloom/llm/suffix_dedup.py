@@ -6,9 +6,13 @@ or same document and earlier start). How the whole corpus gets there without one
 1. Every ``min_len``-byte string has one anchor: the rightmost least hash among its 24-byte grams. Equal strings have
    equal anchors, so only strings whose anchor hash occurs twice can repeat, and strings with different anchors never
    have to meet. Consecutive strings with the same anchor form one *passage* (at most 176 bytes).
-2. Passages of repeated anchors are grouped by anchor. A task first folds its own identical passages (their later
-   occurrences are repeats already). Anchors with more than ``hot`` occurrences are dealt by single strings instead of
-   passages, so that no group holds more than ``hot`` passages, or more equal strings than there are tasks.
+   Which anchors repeat is found from sketches: each part of the documents sends its anchors' hashes with their counts
+   to ranges of hashes, and hears back which of them occur elsewhere too.
+2. Passages of repeated anchors are grouped by anchor. A part of the documents first folds its own identical passages (their later
+   occurrences are repeats already). Passages of an anchor with more than ``hot`` occurrences are cut where their
+   strings' offsets to the anchor pass a multiple of 20, and each piece is grouped by the bytes that all its strings
+   hold; with more than ``hottest`` occurrences they are cut into single strings, grouped by themselves. So a group
+   holds no more than ``hottest`` passages, or one string once for each part.
 3. Each bucket of groups is cut into shards; a shard's suffixes are sorted and give its transform. The shards are
    merged by iterative interleave refinement: starting from the plain concatenation, each round deals the interleave
    stably by the preceding symbol, so that after h rounds suffixes are in the order of their first h symbols, and the
@@ -36,8 +40,11 @@ from keyloom.llm.common import chunks, gram_hashes, keyed, parts_of, sliding_min
 
 GRAM = 24
 STEP = 10
+PIECE = 20
 #: Bytes of passages merged at once, and of one shard.
 BUCKET, SHARD = 1 << 20, 1 << 17
+#: Parts of documents for each shuffle partition, and the most ranges that anchors' hashes are dealt to.
+PARTS_A_TASK, MOST_RANGES = 4, 1 << 15
 
 
 def anchors(bufs: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
@@ -73,16 +80,72 @@ def anchors(bufs: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _anchor_rows(min_len: int):
+def _sketches(min_len: int, ranges: int):
+    """Texts -> for each part of the documents and range of hashes, its anchors' hashes and how often it has each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid = np.asarray(b.column("rid"))
-            row, start, n, off, h = anchors([t.encode() for t in texts(b)], min_len)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid[row]), pa.array(start), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16))], names=["f", "rid", "start", "n", "off"])
+            row, _, _, _, f = anchors([t.encode() for t in texts(b)], min_len)
+            f = f.view(np.uint64)
+            part = np.asarray(b.column("part"))[row]
+            order = np.lexsort((f, part))
+            f, part = f[order], part[order]
+            head = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (part[1:] != part[:-1]))) if len(f) else np.empty(0, np.int64)
+            n = np.diff(np.append(head, len(f))).astype(np.uint32)
+            f, part = f[head], part[head]
+            r = (f >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (part[1:] != part[:-1]))) if len(f) else head
+            ends = np.append(cut[1:], len(f))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r[cut].astype(np.int32)), pa.array(part[cut].astype(np.int32)), pa.array([f[i:j].tobytes() for i, j in zip(cut, ends, strict=False)], pa.binary()), pa.array([n[i:j].tobytes() for i, j in zip(cut, ends, strict=False)], pa.binary())],
+                names=["range", "part", "f", "c"],
+            )
 
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches sorted by range -> for each part its anchors that occur twice or more, and how often in all."""
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    now = None
+
+    def close() -> pa.RecordBatch:
+        f, back = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate([x[2] for x in held])).astype(np.int64)
+        rows, at = [], 0
+        for part, own, _ in held:
+            c = total[back[at : at + len(own)]]
+            at += len(own)
+            if (c > 1).any():
+                rows.append((part, own[c > 1].tobytes(), np.minimum(c[c > 1], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+        part, fs, cs = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(fs, pa.binary()), pa.array(cs, pa.binary())], names=["part", "f", "c"])
+
+    for b in batches:
+        for r, part, f, c in zip(*(b.column(x).to_pylist() for x in ("range", "part", "f", "c")), strict=True):
+            if r != now and held:
+                yield close()
+                held = []
+            now = r
+            held.append((part, np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32)))
+    if held:
+        yield close()
+
+
+PASSAGES = pa.schema([("gid", pa.int64()), ("passage", pa.binary()), ("rid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+
+def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(row, start, stop) with overlapping and touching spans of a row made one."""
+    out: list[list[int]] = []
+    for rid, start, stop in sorted(spans):
+        if out and out[-1][0] == rid and start <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], stop)
+        else:
+            out.append([rid, start, stop])
+    return [tuple(x) for x in out]
+
+
 class _Fold:
     """Identical passages of one task: the earliest goes on, later ones are repeats."""
 
@@ -105,7 +168,7 @@ class _Fold:
         if not self.first and not self.gone:
             return
         keys, at = list(self.first), list(self.first.values())
-        m, g = len(keys), self.gone
+        m, g = len(keys), united(self.gone)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in keys] + [None] * len(g), pa.int64()),
@@ -119,25 +182,44 @@ class _Fold:
         self.first, self.gone = {}, []
 
 
-def _passages(min_len: int, hot: int):
-    """Texts with the lists of their repeated anchors -> folded passages (stop null) and repeats found on the way."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = _Fold(min_len)
-        for b in batches:
-            for rid, text, marks in zip(b.column("rid").to_pylist(), texts(b), b.column("marks"), strict=True):
-                buf = text.encode()
-                v = marks.values
-                for f, c, start, n in zip(*(v.field(x).to_pylist() for x in ("f", "c", "start", "n")), strict=True):
-                    if c <= hot:
-                        fold.add(f, buf[start : start + n + min_len - 1], rid, start)
-                    else:
-                        for s in range(start, start + n):
-                            one = buf[s : s + min_len]
-                            fold.add(int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), one, rid, s)
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _passages(min_len: int, hot: int, hottest: int):
+    """A part's texts and repeated anchors -> folded passages (stop null) and repeats found on the way."""
+
+    def run(docs: pa.Table, often: pa.Table) -> pa.Table:
+        fold, out = _Fold(min_len), []
+        f = np.frombuffer(b"".join(often.column("f").to_pylist()), np.uint64)
+        c = np.frombuffer(b"".join(often.column("c").to_pylist()), np.uint32)
+        f, first = np.unique(f, return_index=True)
+        c = c[first]
+        if len(f):
+            rids = docs.column("rid").to_pylist()
+            bufs = [(t or "").encode() for t in docs.column("text").to_pylist()]
+            row, start, n, off, own = anchors(bufs, min_len)
+            at = np.searchsorted(f, own.view(np.uint64)).clip(max=len(f) - 1)
+            hit = f[at] == own.view(np.uint64)
+            for k, s, m, o, g, times in zip(*(x[hit].tolist() for x in (row, start, n, off, own)), c[at[hit]].tolist(), strict=True):
+                buf, rid, stop, anchor = bufs[k], rids[k], s + m, s + o
+                if times <= hot:
+                    fold.add(g, buf[s : stop - 1 + min_len], rid, s)
+                elif times > hottest:
+                    for i in range(s, stop):
+                        one = buf[i : i + min_len]
+                        fold.add(_digest(one), one, rid, i)
+                else:
+                    while s < stop:
+                        most = (anchor - s) // PIECE * PIECE  # this piece's strings start at most PIECE - 1 before it
+                        end = min(stop, anchor - most + 1)
+                        core = buf[anchor - most : anchor - most - PIECE + 1 + min_len]
+                        fold.add(_digest(g.to_bytes(8, "little", signed=True), bytes([most]), core), buf[s : end - 1 + min_len], rid, s)
+                        s = end
                 if len(fold.first) + len(fold.gone) > fold.MOST:
-                    yield from fold.flush()
-        yield from fold.flush()
+                    out += fold.flush()
+        out += fold.flush()
+        return pa.Table.from_batches(out, PASSAGES)
 
     return run
 
@@ -291,42 +373,57 @@ def _merge(min_len: int):
 
 
 def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    rows = united(rows)
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["rid", "start", "stop"])
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        kept, removed, spans, sizes = [], [], [], []
-        for text, cover in zip(texts(b), b.column("cover").to_pylist(), strict=True):
-            buf = text.encode()
-            out, at, n = [], 0, 0
-            for span in sorted((x["start"], x["stop"]) for x in cover or ()):
-                if span[0] > at or not n:
-                    n += 1
-                    out.append(buf[at : span[0]])
-                at = max(at, span[1])
-            out.append(buf[at:])
-            kept.append(b"".join(out))
-            sizes.append(len(buf))
-            removed.append(len(buf) - len(kept[-1]))
-            spans.append(n)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-
-def dedup(docs: DataFrame, min_len: int = 100, hot: int = 256) -> DataFrame:
-    """``(doc_id, kept, n_bytes, n_removed, n_spans)`` for each row of ``docs(doc_id, text)``; kept is binary."""
+def _apply(docs: pa.Table, cover: pa.Table) -> pa.Table:
+    """A part's texts and repeats -> what is kept of each text."""
+    spans: dict[int, list[tuple[int, int, int]]] = {}
+    for x in united(list(zip(*(cover.column(c).to_pylist() for c in ("rid", "start", "stop")), strict=True))):
+        spans.setdefault(x[0], []).append(x)
+    kept, removed, runs, sizes = [], [], [], []
+    for rid, text in zip(docs.column("rid").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        buf = (text or "").encode()
+        out, at = [], 0
+        for _, start, stop in spans.get(rid, ()):
+            out.append(buf[at:start])
+            at = stop
+        out.append(buf[at:])
+        kept.append(b"".join(out))
+        sizes.append(len(buf))
+        removed.append(len(buf) - len(kept[-1]))
+        runs.append(len(spans.get(rid, ())))
+    return pa.table([docs.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), docs.column("rest")], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"])
+
+
+def decoded(kept: str):
+    """Text of kept bytes; code points that a removal has cut into are left out."""
+
+    @F.pandas_udf("string")
+    def decode(x):
+        return x.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return decode(kept)
+
+
+def dedup(docs: DataFrame, min_len: int = 100, hot: int = 256, hottest: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``(doc_id, kept, n_bytes, n_removed, n_spans, *carry)`` for each row of ``docs(doc_id, text, *carry)``; kept is binary."""
     if min_len % STEP or min_len <= GRAM:
         raise ValueError(f"min_len must be a multiple of {STEP} over {GRAM}")
-    rows = keyed(docs)
-    text = rows.where("rid is not null").select("rid", "doc_id", "text")
-    marks = text.select("rid", "text").mapInArrow(_anchor_rows(min_len), "f long, rid long, start long, n short, off short").select("f", "rid", "start", "n")
-    often = marks.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    per_doc = marks.join(often.hint("merge"), "f").groupBy("rid").agg(F.collect_list(F.struct("f", "c", "start", "n")).alias("marks"))
-    found = text.join(per_doc.hint("merge"), "rid").select("rid", "text", "marks").mapInArrow(_passages(min_len, hot), "gid long, passage binary, rid long, start long, stop long")
-    found = found.repartition(parts_of(docs.sparkSession), F.coalesce("gid", F.xxhash64("rid", "start"))).sortWithinPartitions("gid")
-    gone = found.mapInArrow(_merge_or_pass(min_len), "rid long, start long, stop long")
-    cover = gone.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("cover"))
-    return text.join(cover.hint("merge"), "rid", "left").select("doc_id", "text", "cover").mapInArrow(_apply, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    n = parts_of(docs.sparkSession)
+    parts, ranges = PARTS_A_TASK * n, min(n, MOST_RANGES)
+    part = F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int")
+    text = keyed(docs, carry).withColumn("part", part).repartition(n, "part")  # the one shuffle of texts, read three times
+    sketches = text.mapInArrow(_sketches(min_len, ranges), "range int, part int, f binary, c binary")
+    sketches = sketches.repartition(ranges, "range").sortWithinPartitions("range")
+    often = sketches.mapInArrow(_repeated, "part int, f binary, c binary").repartition(n, "part")
+    found = text.groupBy("part").cogroup(often.groupBy("part")).applyInArrow(_passages(min_len, hot, hottest or max(hot, 32 * parts)), "gid long, passage binary, rid long, start long, stop long")
+    found = found.repartition(n, F.coalesce("gid", F.xxhash64("rid", "start"))).sortWithinPartitions("gid")
+    gone = found.mapInArrow(_merge_or_pass(min_len), "rid long, start long, stop long").withColumn("part", part).repartition(n, "part")
+    kinds = f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, rest {dict(text.dtypes)['rest']}"
+    out = text.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_apply, kinds)
+    return out.select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", *(f"rest.`{c}`" for c in carry or ()))
 
 
 def _merge_or_pass(min_len: int):
