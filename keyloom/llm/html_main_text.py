@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,30 +195,86 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "path")), kind, line], names=["page_id", "url", "host", "path", "kind", "line"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in the order of (host, path, page id) -> their main texts, each after its neighbour is known."""
-    before = waiting = None  # the page before, and the first page of a host that waits for the one after it
+Page = tuple[tuple[int | None, str | None, str], list[tuple[str, str]]]  # (id, url, host), blocks
 
-    def done(page, neighbour):
-        (page_id, url, _), own = page
-        return page_id, url, *main_text(own, neighbour)
+
+def _pages(b: pa.RecordBatch) -> Iterator[Page]:
+    for page_id, url, host, kind, line in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "kind", "line")), strict=True):
+        yield (page_id, url, host), [(KIND[k], t) for k, t in zip(kind, line, strict=True)]
+
+
+def _text(page: Page, *neighbours: Page | None) -> tuple:
+    """The row of a page that is paired with the first of the given ones that is of its host."""
+    pair = next((n[1] for n in neighbours if n is not None and n[0][2] == page[0][2]), None)
+    return *page[0][:2], *main_text(page[1], pair)
+
+
+def _paired(edges: bool):
+    """Pages in the order of (host, path, page id) -> their main texts, but for those that may have to be paired with a
+    page of the next or the last partition; or, with ``edges``, those and the pages they may be paired with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        first = second = before = now = None
+        out, seen = [], 0
+        for b in batches:
+            for page in _pages(b):
+                # ``now`` is between ``before`` and ``page``; the first of a partition is left to the second pass
+                if seen > 1 and not edges:
+                    out.append(_text(now, before, page))
+                first = page if first is None else first
+                second = page if seen == 1 else second
+                before, now, seen = now, page, seen + 1
+            if out:
+                yield _texts(out)
+                out = []
+        # the last page is resolved here if the page before it is of its host
+        alone = seen == 1 or seen > 1 and before[0][2] != now[0][2]
+        if seen > 1 and not alone and not edges:
+            yield _texts([_text(now, before)])
+        if edges and seen:
+            rows = [(task, 0, first, True, second)]
+            if seen > 1:
+                rows.append((task, 1, now, alone, None))
+            yield _edges(rows)
+
+    return run
+
+
+EDGE = "task int, seq int, page_id long, url string, host string, kind array<tinyint>, line array<string>, open boolean, after_kind array<tinyint>, after_line array<string>"
+
+
+def _edges(rows: list[tuple]) -> pa.RecordBatch:
+    """Edge pages with whether they are still open, and the blocks of the page after them if it is of their host."""
+    k, t = pa.list_(pa.int8()), pa.list_(pa.string())
+    after = [a[1] if a is not None and a[0][2] == p[0][2] else None for _, _, p, _, a in rows]
+    cols = [
+        pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2][0][0] for r in rows], pa.int64()),
+        pa.array([r[2][0][1] for r in rows], pa.string()), pa.array([r[2][0][2] for r in rows], pa.string()),
+        pa.array([[KINDS[x] for x, _ in r[2][1]] for r in rows], k), pa.array([[x for _, x in r[2][1]] for r in rows], t), pa.array([r[3] for r in rows], pa.bool_()),
+        pa.array([None if a is None else [KINDS[x] for x, _ in a] for a in after], k), pa.array([None if a is None else [x for _, x in a] for a in after], t),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in EDGE.split(", ")])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All partitions' edge pages in order -> the texts of the open ones."""
+    before = held = None
+
+    def done(page: Page, is_open: bool, after: Page | None, following: Page | None) -> list[tuple]:
+        return [_text(page, before, after, following)] if is_open else []
 
     for b in batches:
         out = []
-        for page_id, url, host, kind, line in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "kind", "line")), strict=True):
-            page = (page_id, url, host), [(KIND[k], t) for k, t in zip(kind, line, strict=True)]
-            same = before is not None and before[0][2] == host
-            if waiting is not None:
-                out.append(done(waiting, page[1] if same else None))
-                waiting = None
-            if same:
-                out.append(done(page, before[1]))
-            else:
-                waiting = page
-            before = page
+        afters = [None if k is None else [(KIND[x], t) for x, t in zip(k, ts, strict=True)] for k, ts in zip(b.column("after_kind").to_pylist(), b.column("after_line").to_pylist(), strict=True)]
+        for page, is_open, after in zip(_pages(b), b.column("open").to_pylist(), afters, strict=True):
+            if held is not None:
+                out += done(*held, page)
+                before = held[0]
+            held = (page, is_open, None if after is None else (page[0], after))
         yield _texts(out)
-    if waiting is not None:
-        yield _texts([done(waiting, None)])
+    if held is not None:
+        yield _texts(done(*held, None))
 
 
 def _texts(rows: list[tuple]) -> pa.RecordBatch:
@@ -234,4 +291,7 @@ def extract(pages: DataFrame) -> DataFrame:
     read = rows.mapInArrow(_read, "page_id long, url string, host string, path string, kind array<tinyint>, line array<string>")
     order = ["host", "path", "page_id"]
     dealt = read.repartitionByRange(parts_of(pages.sparkSession), *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_paired, "page_id long, url string, text string, n_differenced long")
+    kinds = "page_id long, url string, text string, n_differenced long"
+    # at most two pages of a partition, in one task
+    edges = dealt.mapInArrow(_paired(True), EDGE).repartition(1).sortWithinPartitions("task", "seq")
+    return dealt.mapInArrow(_paired(False), kinds).unionByName(edges.mapInArrow(_joined, kinds))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import gram_hashes, parts_of, sliding_min
 
-K = 12
-WINDOW = 32
+K = 10
+WINDOW = 20
 
 
 def codes(text: str) -> np.ndarray:
@@ -46,8 +46,8 @@ def winnow(x: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
 
 
 def packed(at: np.ndarray, h: np.ndarray) -> str:
-    """Hex of the chosen hashes in text order, each followed by its distance from the one before."""
-    out = np.empty(len(h), np.dtype([("h", ">u4"), ("gap", ">u4")]))
+    """Hex of the chosen hashes in text order, each followed by its distance from the one before (at most a window)."""
+    out = np.empty(len(h), np.dtype([("h", ">u4"), ("gap", "u1")]))
     out["h"], out["gap"] = h, np.diff(at, prepend=0)
     return out.tobytes().hex()
 
