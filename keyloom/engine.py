@@ -186,9 +186,16 @@ class Engine:
         return handled if handled is not None else self.query(text)
 
     def query(self, text: str) -> DataFrame:
-        for name in self.tables:
+        """Spark SQL over views of the tables it names; equalities on leading text captures narrow a lone table's scan."""
+        from keyloom import sqlddl
+
+        lone, same = sqlddl.narrowed(text) or (None, {})
+        for name, t in self.tables.items():
             if re.search(rf"\b{re.escape(name)}\b", text, re.I):
-                self.table(name).createOrReplaceTempView(name)
+                known = {}
+                if name == lone and not t.raw:
+                    known = {k: v for k, v in same.items() if t.spec.projection.is_identity(k) and t.spec.projection.by_name[k].type.spark == "string"}
+                self.table(name, known or None).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def explain(self, name: str, where: Mapping[str, object] | Bounds | None = None, analyze: bool = False) -> str:

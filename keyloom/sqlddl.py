@@ -92,6 +92,20 @@ def equalities(where: str | None) -> tuple[dict[str, str], list[tuple[str, str,
     return same, found
 
 
+_ONE_TABLE = re.compile(rf"SELECT\s+(?:(?!\bFROM\b).)*?\s+FROM\s+(?P<name>{NAME})\s+WHERE\s+(?P<where>.*?)(?:\s+(?:GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b.*?)?\s*;?\s*", re.I | re.S)
+
+
+def narrowed(text: str) -> tuple[str, dict[str, str]] | None:
+    """The table and the equalities of a SELECT over one table whose condition is a plain conjunction, else None.
+
+    They may narrow the table's scan, as the statement checks its condition again.
+    """
+    m = _ONE_TABLE.fullmatch(text.strip())
+    if not m or len(re.findall(r"\bFROM\b", text, re.I)) > 1 or len(split(m["where"], r"\b(?:OR|NOT)\b|\bUNION\b|\bEXCEPT\b|\bINTERSECT\b")) > 1:
+        return None
+    return unquoted(m["name"]), equalities(m["where"])[0]
+
+
 def run(engine: Engine, text: str) -> DataFrame | None:
     """The result of one of the engine's statements, or None if it is none of them."""
     for pattern, kind in _STATEMENTS:
