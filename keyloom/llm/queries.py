@@ -67,6 +67,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pseudo_likelihood, op2_suffix_dedup, op3_benchmark_tiling, op4_simhash_pivots, op5_page_differencing, op6_quality_trees, op7_merkle_audit, op8_winnowing, op9_tool_calls, op10_pfair_mixing)}
 
 
+#: Every string of 100 bytes (as hex) in the order of documents and starts; all but the first of equal ones are covered.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+p AS (SELECT s.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0))) AS piece
+      FROM spans s JOIN d USING (doc_id)),
+x AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last, string_agg(piece, '' ORDER BY a) AS pieces FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(pieces || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH r AS (
   SELECT page_id, page_id // 1024 AS file, substr(md5(CAST(page_id AS VARCHAR)), 1, 1) AS fate,
@@ -104,4 +120,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_merkle_audit": OP7_SQL, "op9_tool_calls": OP9_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op7_merkle_audit": OP7_SQL, "op9_tool_calls": OP9_SQL}
