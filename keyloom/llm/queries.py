@@ -31,7 +31,7 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_main_text.extract(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_differenced")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,13 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
 FROM d LEFT JOIN x USING (doc_id)
 """
 
+#: What the article element of these pages holds, block by block.
+OP5_SQL = r"""
+WITH b AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(?:h1|p)>') AS parts FROM pages),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
 OP7_SQL = """
 WITH r AS (
   SELECT page_id, page_id // 1024 AS file, substr(md5(CAST(page_id AS VARCHAR)), 1, 1) AS fate,
@@ -120,4 +127,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op7_merkle_audit": OP7_SQL, "op9_tool_calls": OP9_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op5_page_differencing": OP5_SQL, "op7_merkle_audit": OP7_SQL, "op9_tool_calls": OP9_SQL}

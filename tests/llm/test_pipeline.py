@@ -72,7 +72,7 @@ def test_sql_of_operators(spark):
     from keyloom.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations"):  # what the SQL reads
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, "/root/testdata/sf0.001")
