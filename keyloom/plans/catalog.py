@@ -422,7 +422,7 @@ host("case", "customer", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt'
 host("like", "part", "SELECT p_partkey FROM v_part WHERE p_type LIKE '%BRASS%' OR p_name LIKE 'a%'")
 host("in_list", "part", "SELECT p_partkey FROM v_part WHERE p_size IN (1, 5, 9) AND p_brand IN ('Brand#1', 'Brand#2')")
 host("strings", "customer", "SELECT c_custkey, upper(c_mktsegment) AS u, length(c_name) AS n, substr(c_name, 3, 4) AS s, replace(c_name, 'C', 'K') AS r, c_name || '-' || c_mktsegment AS j, trim(c_name) AS t FROM v_customer", "SELECT c_custkey, upper(c_mktsegment) AS u, CAST(length(c_name) AS INTEGER) AS n, substr(c_name, 3, 4) AS s, replace(c_name, 'C', 'K') AS r, c_name || '-' || c_mktsegment AS j, trim(c_name) AS t FROM customer")
-host("dates", "orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('MONTH', o_orderdate) AS mon, CAST(o_orderdate AS DATE) AS day FROM v_orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, date_trunc('month', o_orderdate) AS mon, CAST(o_orderdate AS DATE) AS day FROM orders")
+host("dates", "orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('MONTH', o_orderdate) AS TIMESTAMP_NTZ) AS mon, CAST(o_orderdate AS DATE) AS day FROM v_orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, date_trunc('month', o_orderdate) AS mon, CAST(o_orderdate AS DATE) AS day FROM orders")
 host("math", "part", "SELECT p_partkey, abs(p_retailprice - 1000) AS a, round(p_retailprice, 1) AS r, floor(p_retailprice) AS f, sqrt(p_retailprice) AS q, p_size * 2 + 1 AS x FROM v_part", "SELECT p_partkey, abs(p_retailprice - 1000) AS a, round(p_retailprice, 1) AS r, CAST(floor(p_retailprice) AS BIGINT) AS f, sqrt(p_retailprice) AS q, p_size * 2 + 1 AS x FROM part")
 host("json", "events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM v_events", "SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k FROM events")
 host("arrays", "nation", "SELECT n_regionkey, size(collect_set(n_name)) AS n, array_join(sort_array(collect_list(n_name)), ',') AS names FROM v_nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(count(DISTINCT n_name) AS INTEGER) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
