@@ -224,10 +224,10 @@ class Engine:
             rows = rows.where(where)
         return rows
 
-    def _commit(self, t: Table, store: KvStore, kv: DataFrame, ops: DataFrame, touched: int) -> int:
-        """One snapshot and one message for a statement that touched a row; nothing for others."""
+    def _commit(self, t: Table, store: KvStore, ops: DataFrame, touched: int) -> int:
+        """One delta and one message for a statement that touched a row; nothing for others."""
         if touched:
-            store.commit(dml.apply_ops(kv, ops))
+            store.apply(ops)
             self.notifier.notify(channel_name(t.schema, t.name), f"{store.path}/_changes", store.version)
         return touched
 
@@ -236,9 +236,8 @@ class Engine:
         t, store = self._writable(name)
         if isinstance(rows, list):
             rows = self._frame(t, rows)
-        kv = store.read()
         ops = dml.raw_put_ops(rows) if t.raw else dml.insert_ops(t.spec, rows, strict)
-        return self._commit(t, store, kv, ops, rows.count())
+        return self._commit(t, store, ops, rows.count())
 
     def _frame(self, t: Table, rows: list[Mapping[str, object]]) -> DataFrame:
         cols = t.spec.columns or columns("key TEXT, value TEXT") if t.raw else t.spec.projection.columns
@@ -259,7 +258,7 @@ class Engine:
             if bad := next((k for k in new if k not in t.spec.projection.by_name), None):
                 raise ConfigError(f"unknown column {bad!r}")
             ops = dml.update_ops(t.spec, kv, old, new, strict)
-        return self._commit(t, store, kv, ops, old.count())
+        return self._commit(t, store, ops, old.count())
 
     def delete(self, name: str, where: Condition = None) -> int:
         """Delete the rows that match, with all attributes stored for them; returns their number."""
@@ -267,7 +266,7 @@ class Engine:
         kv = store.read()
         old = self._old(t, kv, where)
         ops = dml.raw_delete_ops(old) if t.raw else dml.delete_ops(t.spec, kv, old)
-        return self._commit(t, store, kv, ops, old.count())
+        return self._commit(t, store, ops, old.count())
 
     # discovery and notification
 

@@ -1,6 +1,8 @@
-"""``spark.read.format("keyloom_kv")``: a store as a data source that takes SQL filters on the key down to its files.
+"""``spark.read.format("keyloom_kv")``: a store as a data source that can take SQL filters on the key down to its files.
 
-Options: ``path`` (a store on a path that pyarrow can open). All filters stay with Spark too, which checks them again.
+Options: ``path`` (a store on a path that pyarrow can open), ``push_filters`` (default false). Spark checks pushed filters
+again. Spark 4.1 keeps what was pushed with the loaded relation and reads with it again, whatever the next query over the
+same DataFrame asks; so filters are only pushed where that is asked for, and then each load serves one query.
 """
 
 from __future__ import annotations
@@ -22,44 +24,64 @@ class KvSource(DataSource):
         return "key string, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return KvReader(self.options["path"])
+        push = self.options.get("push_filters", "false").lower() == "true"
+        return PushingReader(self.options["path"]) if push else KvReader(self.options["path"])
 
 
 class KvReader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path, self.terms = path, []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        kinds = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in", StringStartsWith: "^"}
-        for f in filters:
-            if type(f) in kinds and f.attribute == ("key",):
-                self.terms.append((kinds[type(f)], f.value))
-            yield f
-
     def partitions(self) -> list[InputPartition]:
+        """The snapshot's files, and one partition for the deltas (named by an empty file)."""
         import pyarrow.dataset as ds
-        import pyarrow.fs as pfs
 
-        fs, root = pfs.FileSystem.from_uri(self.path) if "://" in self.path else (pfs.LocalFileSystem(), self.path)
+        fs, root = _filesystem(self.path)
         with fs.open_input_file(f"{root}/_CURRENT") as f:
-            current = f.read().decode().strip()
-        return [InputPartition(x) for x in ds.dataset(f"{root}/{current}", filesystem=fs, format="parquet").files] or [InputPartition("")]
+            base, *deltas = f.read().decode().split()
+        files = ds.dataset(f"{root}/{base}", filesystem=fs, format="parquet").files
+        return [InputPartition((x, deltas)) for x in files] + [InputPartition(("", deltas))]
 
     def read(self, partition: InputPartition) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import pyarrow.dataset as ds
-        import pyarrow.fs as pfs
 
-        if not partition.value:
-            return
-        fs = pfs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pfs.LocalFileSystem()
+        fs, root = _filesystem(self.path)
         test, key = None, ds.field("key")
         for op, v in self.terms:
             one = {"=": lambda: key == v, ">": lambda: key > v, ">=": lambda: key >= v, "<": lambda: key < v, "<=": lambda: key <= v, "in": lambda: key.isin(list(v)), "^": lambda: key >= v}[op]()  # noqa: B023
             test = one if test is None else test & one
-        yield from ds.dataset(partition.value, filesystem=fs, format="parquet").to_batches(columns=["key", "value"], filter=test)
+        file, deltas = partition.value
+        last: dict[str, tuple[int, str | None]] = {}  # of the keys that pass the filters; deltas are kept small
+        for name in deltas:
+            for r in ds.dataset(f"{root}/{name}", filesystem=fs, format="parquet").to_table(filter=test).to_pylist():
+                last[r["key"]] = r["phase"], r["value"]
+        if not file:
+            puts = [(k, v) for k, (phase, v) in last.items() if phase]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in puts], pa.string()) for i in (0, 1)], names=["key", "value"])
+            return
+        changed = pa.array(list(last), pa.string())
+        for b in ds.dataset(file, filesystem=fs, format="parquet").to_batches(columns=["key", "value"], filter=test):
+            yield b.filter(pc.invert(pc.is_in(b.column("key"), changed))) if last else b
+
+
+class PushingReader(KvReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        kinds = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in", StringStartsWith: "^"}
+        for f in filters:
+            if type(f) in kinds and f.attribute == ("key",):
+                self.terms.append((kinds[type(f)], f.value))
+            yield f
+
+
+def _filesystem(path: str):
+    import pyarrow.fs as pfs
+
+    return pfs.FileSystem.from_uri(path) if "://" in path else (pfs.LocalFileSystem(), path)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the source known and let filters reach it."""
+    """Make the source known, and let it be given filters."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(KvSource)

@@ -1,4 +1,9 @@
-"""The key-value store: key-sorted Parquet snapshots, one made current by an atomic swap of a small pointer file.
+"""The key-value store: a key-sorted Parquet snapshot and the statements since, made current by a small pointer file.
+
+A statement writes its folded operations only (a delta), so its cost follows what it changes, not what is stored. A read
+leaves out the snapshot's keys that a delta names and adds the deltas' puts; deltas are broadcast while they are small, by
+their file sizes, and joined by shuffle beyond that. When deltas grow to a quarter of the snapshot, or get many, they are
+merged into a new snapshot. The pointer is swapped by an atomic rename, so readers see all of a statement or nothing.
 
 All file access goes through Spark's Hadoop file system, so a store can be anywhere Spark can write.
 """
@@ -12,13 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.errors import StoreError
+from keyloom.operators.dml import PUT, fold
 
 SCHEMA = T.StructType([T.StructField("key", T.StringType(), False), T.StructField("value", T.StringType(), False)])
+DELTA = "key string, phase int, value string"
 POINTER = "_CURRENT"
+#: Deltas are broadcast up to so many bytes, and merged into the snapshot beyond this share of it or this number.
+BROADCAST_BYTES, SHARE, MOST = 32 << 20, 4, 16
 
 
 class KvStore:
-    """A folder of snapshots ``v=<number>-<id>``; the pointer file names the current one."""
+    """A folder of snapshots ``v=<number>-<id>`` and deltas ``d=<number>-<id>``; the pointer names those that count."""
 
     def __init__(self, spark: SparkSession, path: str, create_if_missing: bool = False, read_only: bool = True, keep: int = 3) -> None:
         self.spark, self.path, self.read_only, self.keep = spark, path.rstrip("/"), read_only, keep
@@ -28,48 +37,92 @@ class KvStore:
         if not self._fs.exists(self._at(POINTER)):
             if not create_if_missing:
                 raise StoreError(f"Failed to open store at '{path}': does not exist (create_if_missing is false)")
-            self._write(spark.createDataFrame([], SCHEMA), 0)
+            self._snapshot(spark.createDataFrame([], SCHEMA), 0)
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(self._root, name)
 
-    def current(self) -> str:
+    def current(self) -> list[str]:
+        """The snapshot that counts and the deltas after it, oldest first."""
         stream = self._fs.open(self._at(POINTER))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
         finally:
             stream.close()
 
+    @staticmethod
+    def _number(name: str) -> int:
+        return int(name[2:].split("-")[0])
+
     @property
     def version(self) -> int:
-        return int(self.current()[2:].split("-")[0])
+        return self._number(self.current()[-1])
 
     def versions(self) -> list[str]:
-        return sorted((s.getPath().getName() for s in self._fs.listStatus(self._root) if s.getPath().getName().startswith("v=")), key=lambda n: int(n[2:].split("-")[0]))
+        """All snapshots and deltas in the folder, those kept for running readers included."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
+        return sorted((n for n in names if n[:2] in ("v=", "d=")), key=self._number)
+
+    def _bytes(self, names: list[str]) -> int:
+        return sum(self._fs.getContentSummary(self._at(n)).getLength() for n in names)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self.current()}")
+        base, *deltas = self.current()
+        kv = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{base}")
+        if not deltas:
+            return kv
+        ops = None
+        for n in deltas:
+            one = self.spark.read.schema(DELTA).parquet(f"{self.path}/{n}").withColumn("seq", F.lit(self._number(n)))
+            ops = one if ops is None else ops.unionByName(one)
+        last = ops if len(deltas) == 1 else ops.groupBy("key").agg(F.max_by(F.struct("phase", "value"), "seq").alias("op")).select("key", "op.phase", "op.value")
+        keys = ops.select("key")
+        if self._bytes(deltas) <= BROADCAST_BYTES:
+            keys = F.broadcast(keys)
+        return kv.join(keys, "key", "left_anti").unionByName(last.where(F.col("phase") == PUT).select("key", "value"))
 
     def get(self, key: str) -> str | None:
         r = self.read().where(F.col("key") == key).select("value").head()
         return r and r["value"]
 
-    def commit(self, kv: DataFrame) -> int:
-        """Write a snapshot, range-partitioned and sorted by key so that key ranges prune files and row groups, and make
-        it current. Nothing is visible before the last step."""
+    def _check(self) -> None:
         if self.read_only:
             raise StoreError("Cannot write to read-only connection")
+
+    def commit(self, kv: DataFrame) -> int:
+        """Make entries the store's whole content, as a new snapshot; returns its version."""
+        self._check()
         n = self.version + 1
-        self._write(kv, n)
+        self._snapshot(kv, n)
         return n
 
-    def _write(self, kv: DataFrame, n: int) -> None:
+    def apply(self, ops: DataFrame) -> int:
+        """Apply a statement's operations ``(key, phase, ord, value)`` as a delta; returns the version."""
+        self._check()
+        now = self.current()
+        n = self._number(now[-1]) + 1
+        name = f"d={n:08d}-{uuid.uuid4().hex[:8]}"
+        fold(ops).sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
+        self._point([*now, name], n)
+        if len(now) > MOST or self._bytes([*now[1:], name]) > max(BROADCAST_BYTES, self._bytes(now[:1]) // SHARE):
+            self.compact()
+        return n
+
+    def compact(self) -> None:
+        """Merge the deltas into a new snapshot of the same version."""
+        self._snapshot(self.read(), self.version)
+
+    def _snapshot(self, kv: DataFrame, n: int) -> None:
+        """Range-partitioned and sorted by key, so that key ranges prune files and row groups."""
         name = f"v={n:08d}-{uuid.uuid4().hex[:8]}"
         kv.select("key", "value").repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", 16 << 20).parquet(f"{self.path}/{name}")
-        side = self._at(f"_{name}.next")
+        self._point([name], n)
+
+    def _point(self, names: list[str], n: int) -> None:
+        side = self._at(f"_{uuid.uuid4().hex}.next")
         out = self._fs.create(side, True)
         try:
-            out.write(bytearray(name.encode()))
+            out.write(bytearray("\n".join(names).encode()))
         finally:
             out.close()
         options = self._jvm.org.apache.hadoop.fs.Options.Rename
@@ -77,8 +130,9 @@ class KvStore:
         array = self.spark.sparkContext._gateway.new_array(options, 1)
         array[0] = options.OVERWRITE
         files.rename(self._fs.makeQualified(side), self._fs.makeQualified(self._at(POINTER)), array)
-        for old in self.versions()[: -self.keep]:
-            self._fs.delete(self._at(old), True)
+        for old in self.versions():
+            if old not in names and self._number(old) <= n - self.keep:
+                self._fs.delete(self._at(old), True)
 
 
 class WriteBatch:
@@ -112,9 +166,7 @@ class WriteBatch:
             return
         last = {op[0]: op for op in self._ops}
         ops = self._store.spark.createDataFrame(list(last.values()), "key string, phase int, ord long, value string")
-        from keyloom.operators.dml import apply_ops
-
-        self._store.commit(apply_ops(self._store.read(), ops))
+        self._store.apply(ops)
         self._ops = []
 
     def __enter__(self) -> WriteBatch:

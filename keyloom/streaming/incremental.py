@@ -6,20 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from keyloom.operators.dml import apply_ops
 from keyloom.operators.tables import PivotTable
 from keyloom.sources.store import KvStore
 
 
 def maintain(ops: DataFrame, store: KvStore, checkpoint: str, after=None) -> StreamingQuery:
-    """Apply a stream of ``(key, phase, ord, value)`` to a store, one snapshot for each batch that has rows.
+    """Apply a stream of ``(key, phase, ord, value)`` to a store, one delta for each batch that has rows.
 
     A batch that is delivered again after a failure sets the same keys to the same values, so it does no harm.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            store.commit(apply_ops(store.read(), batch))
+            store.apply(batch)
             if after:
                 after(epoch)
 

@@ -244,19 +244,46 @@ def test_store_versions_and_batch(spark, tmp_path):
             assert not b.has_pending
     with WriteBatch(store) as b:
         b.put("lost", "x")
-    assert store.version == 4 and len(store.versions()) == 2 and store.get("a") == "3" and store.get("b") is None and store.get("lost") is None
+    assert store.version == 4 and len(store.current()) == 5 and store.get("a") == "3" and store.get("b") is None and store.get("lost") is None
     with pytest.raises(StoreError):
         WriteBatch(KvStore(spark, f"{tmp_path}/kv"))
 
 
+def test_deltas_are_merged(spark, tmp_path, monkeypatch):
+    from keyloom.sources import store as module
+
+    store = KvStore(spark, f"{tmp_path}/kv", create_if_missing=True, read_only=False, keep=1)
+    store.commit(spark.createDataFrame([(f"k{i}", "0") for i in range(9)], module.SCHEMA))
+    ops = lambda *rows: spark.createDataFrame(list(rows), "key string, phase int, ord long, value string")
+    store.apply(ops(("k1", 1, 0, "a"), ("k2", 0, 1, None), ("k1", 1, 2, "b")))
+    store.apply(ops(("k2", 1, 0, "c"), ("k1", 0, 1, None), ("new", 1, 2, "n")))
+    want = {f"k{i}": "0" for i in range(9) if i != 1} | {"k2": "c", "new": "n"}
+    for small in (1 << 20, 0):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", small)
+        assert dict(map(tuple, store.read().collect())) == want and len(store.current()) == 3
+    plan = store.read().where(F.col("key").startswith("k3"))._jdf.queryExecution().toString()
+    assert "StringStartsWith(key,k3)" in plan
+    monkeypatch.setattr(module, "MOST", 2)
+    store.apply(ops(("k3", 0, 0, None)))
+    want.pop("k3")
+    assert len(store.current()) == 1 and dict(map(tuple, store.read().collect())) == want and store.version == 4
+    store.apply(ops(("k4", 0, 0, None)))
+    assert set(store.current()) <= set(store.versions()) and len(store.versions()) <= 3
+
+
 def test_data_source(spark, engine):
     from keyloom.sources.datasource import register
 
     engine.insert("raw_test", [{"key": f"k{i}", "value": str(i)} for i in range(20)])
+    load = lambda push=False: spark.read.format("keyloom_kv").option("path", engine.servers["s"].options.db_path).option("push_filters", push).load()
     register(spark)
-    df = spark.read.format("keyloom_kv").option("path", engine.servers["s"].options.db_path).load()
-    assert df.where("key >= 'k18' and key < 'k2'").count() == 2 and df.where("key like 'k1%'").count() == 11 and df.where("key in ('k3','k4','zz')").count() == 2
-    assert got(df.where("key = 'k5'")) == [("k5", "5")]
+    for push in (False, True):
+        df = load()
+        for where, n in (("key >= 'k18' and key < 'k2'", 2), ("key like 'k1%'", 11), ("key in ('k3','k4','zz')", 2), ("key = 'k5'", 1), ("key > 'k8' and key <= 'k9'", 1)):
+            assert (load(True) if push else df).where(where).count() == n
+    engine.sql("UPDATE raw_test SET value = 'new' WHERE key = 'k5'")
+    engine.sql("DELETE FROM raw_test WHERE key = 'k3'")
+    assert got(load().where("key = 'k5'")) == [("k5", "new")] and load().where("key = 'k3'").count() == 0 and load().count() == 19
 
 
 def test_leveldb(spark, tmp_path, engine):
