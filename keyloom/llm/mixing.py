@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 64
 #: Rows of a source's bucket, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Targets weigh a source by its rows to this power unless weights are given.
 TEMPERATURE = 0.5
 
