@@ -11,7 +11,8 @@ Differencing alone cannot give right results where a host's menus and notices di
 pages carry the same article, so it never deletes an article block and is not asked about furniture.
 
 Defined cases: null html has the empty text; null urls form a host of their own; equal paths are ordered by page id;
-repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored. Pages at the edges of
+sorted partitions are paired in a second pass over these pages alone.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from keyloom.llm.common import parts_of
 RAW = "script style template noscript iframe svg canvas object textarea title"
 FURNITURE = frozenset("nav footer aside form button select dialog menu label fieldset".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Partitions whose edge pages (two of each) meet in one task.
+GROUP = 64
 #: Cells of a table of common subsequence lengths that is held whole.
 TABLE = 1 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -233,33 +236,40 @@ def _paired(edges: bool):
         if seen > 1 and not alone and not edges:
             yield _texts([_text(now, before)])
         if edges and seen:
-            rows = [(task, 0, first, True, second)]
+            group, place = divmod(task, GROUP)
+            rows = [(group, task, 0, first, True, second)]
             if seen > 1:
-                rows.append((task, 1, now, alone, None))
+                rows.append((group, task, 1, now, alone, None))
+            # a group's neighbours see its outer pages too
+            if place == 0 and group:
+                rows.append((group - 1, task, 0, first, False, None))
+            if place == GROUP - 1:
+                rows.append((group + 1, *rows[0 if seen == 1 else 1][1:4], False, None))
             yield _edges(rows)
 
     return run
 
 
-EDGE = "task int, seq int, page_id long, url string, host string, kind array<tinyint>, line array<string>, open boolean, after_kind array<tinyint>, after_line array<string>"
+EDGE = "part int, task int, seq int, page_id long, url string, host string, kind array<tinyint>, line array<string>, open boolean, after_kind array<tinyint>, after_line array<string>"
 
 
 def _edges(rows: list[tuple]) -> pa.RecordBatch:
     """Edge pages with whether they are still open, and the blocks of the page after them if it is of their host."""
     k, t = pa.list_(pa.int8()), pa.list_(pa.string())
-    after = [a[1] if a is not None and a[0][2] == p[0][2] else None for _, _, p, _, a in rows]
+    after = [a[1] if a is not None and a[0][2] == p[0][2] else None for *_, p, _, a in rows]
+    pages = [r[3] for r in rows]
     cols = [
-        pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2][0][0] for r in rows], pa.int64()),
-        pa.array([r[2][0][1] for r in rows], pa.string()), pa.array([r[2][0][2] for r in rows], pa.string()),
-        pa.array([[KINDS[x] for x, _ in r[2][1]] for r in rows], k), pa.array([[x for _, x in r[2][1]] for r in rows], t), pa.array([r[3] for r in rows], pa.bool_()),
+        *(pa.array([r[i] for r in rows], pa.int32()) for i in range(3)),
+        pa.array([p[0][0] for p in pages], pa.int64()), pa.array([p[0][1] for p in pages], pa.string()), pa.array([p[0][2] for p in pages], pa.string()),
+        pa.array([[KINDS[x] for x, _ in p[1]] for p in pages], k), pa.array([[x for _, x in p[1]] for p in pages], t), pa.array([r[4] for r in rows], pa.bool_()),
         pa.array([None if a is None else [KINDS[x] for x, _ in a] for a in after], k), pa.array([None if a is None else [x for _, x in a] for a in after], t),
     ]
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in EDGE.split(", ")])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All partitions' edge pages in order -> the texts of the open ones."""
-    before = held = None
+    """Groups of partitions' edge pages, each in order -> the texts of the open ones."""
+    before = held = part = None
 
     def done(page: Page, is_open: bool, after: Page | None, following: Page | None) -> list[tuple]:
         return [_text(page, before, after, following)] if is_open else []
@@ -267,10 +277,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         afters = [None if k is None else [(KIND[x], t) for x, t in zip(k, ts, strict=True)] for k, ts in zip(b.column("after_kind").to_pylist(), b.column("after_line").to_pylist(), strict=True)]
-        for page, is_open, after in zip(_pages(b), b.column("open").to_pylist(), afters, strict=True):
+        for group, page, is_open, after in zip(b.column("part").to_pylist(), _pages(b), b.column("open").to_pylist(), afters, strict=True):
             if held is not None:
-                out += done(*held, page)
-                before = held[0]
+                out += done(*held, page if group == part else None)
+                before = held[0] if group == part else None
+            part = group
             held = (page, is_open, None if after is None else (page[0], after))
         yield _texts(out)
     if held is not None:
@@ -292,6 +303,5 @@ def extract(pages: DataFrame) -> DataFrame:
     order = ["host", "path", "page_id"]
     dealt = read.repartitionByRange(parts_of(pages.sparkSession), *order).sortWithinPartitions(*order)
     kinds = "page_id long, url string, text string, n_differenced long"
-    # at most two pages of a partition, in one task
-    edges = dealt.mapInArrow(_paired(True), EDGE).repartition(1).sortWithinPartitions("task", "seq")
+    edges = dealt.mapInArrow(_paired(True), EDGE).repartition(parts_of(pages.sparkSession), "part").sortWithinPartitions("part", "task", "seq")
     return dealt.mapInArrow(_paired(False), kinds).unionByName(edges.mapInArrow(_joined, kinds))

@@ -270,6 +270,22 @@ def test_main_text(spark):
     assert len(dict(got)[9]) and html_main_text.extract(pages.limit(0)).count() == 0
 
 
+def test_pairs_across_partitions(spark):
+    """Each page is paired as if all were in one partition, however they are dealt."""
+    line = lambda i: f"<body><div>Menu {i // 4}</div><p>Text {i}</p><div>Menu {(i + 1) // 4}</div></body>"
+    rows = [(i, f"http://h{i // 30}.org/a/{i:04d}", line(i)) for i in range(180)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    was, html_main_text.GROUP = html_main_text.GROUP, 2
+    try:
+        got = {r["page_id"]: r["text"] for r in html_main_text.extract(pages).collect()}
+    finally:
+        html_main_text.GROUP = was
+    read = [html_main_text.blocks(h) for _, _, h in rows]
+    for i in range(180):
+        pair = i - 1 if i % 30 else i + 1
+        assert got[i] == html_main_text.main_text(read[i], read[pair])[0]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for limit in (1 << 20, 4):
