@@ -42,7 +42,7 @@ GRAM = 24
 STEP = 10
 PIECE = 20
 #: Bytes of passages merged at once, and of one shard.
-BUCKET, SHARD = 1 << 20, 1 << 17
+BUCKET, SHARD = 1 << 19, 1 << 16
 #: Parts of documents for each shuffle partition, and the most ranges that anchors' hashes are dealt to.
 PARTS_A_TASK, MOST_RANGES = 4, 1 << 15
 
@@ -88,12 +88,12 @@ def _sketches(min_len: int, ranges: int):
             row, _, _, _, f = anchors([t.encode() for t in texts(b)], min_len)
             f = f.view(np.uint64)
             part = np.asarray(b.column("part"))[row]
-            order = np.lexsort((f, part))
-            f, part = f[order], part[order]
+            r = (f & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)  # anchors are least hashes: only their low bits are even
+            order = np.lexsort((f, r, part))
+            f, part, r = f[order], part[order], r[order]
             head = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (part[1:] != part[:-1]))) if len(f) else np.empty(0, np.int64)
             n = np.diff(np.append(head, len(f))).astype(np.uint32)
-            f, part = f[head], part[head]
-            r = (f >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            f, part, r = f[head], part[head], r[head]
             cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (part[1:] != part[:-1]))) if len(f) else head
             ends = np.append(cut[1:], len(f))
             yield pa.RecordBatch.from_arrays(
