@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +85,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(rows: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary of the corpus and a count for each id (at least one)."""
     counts = rows.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - OOV).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = counts.withColumn("size", F.floor(F.log("n") * 8).cast("int")).persist(StorageLevel.DISK_ONLY)
+    # words by the size of their counts (a few hundred sizes), so that only words near the top are ever sorted
+    sizes = counts.groupBy("size").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("size")).collect()
+    total, least, words = sum(r["n"] for r in sizes), 0, 0
+    for r in sizes:
+        least, words = r["size"], words + r["words"]
+        if words >= VOCAB - OOV:
+            break
+    top = counts.where(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(VOCAB - OOV).collect()
+    counts.unpersist()
     n = np.ones(VOCAB)
     n[: len(top)] = [r["n"] for r in top]
     n[VOCAB - OOV :] = max(1.0, (total - sum(r["n"] for r in top)) / OOV)
