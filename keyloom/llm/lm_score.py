@@ -1,9 +1,12 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
-The vocabulary comes from counts over the whole corpus: the most frequent words have an id each, all others share
-``OOV`` hashed ids. The network sums one embedding per context place (``SIDE`` words to the left and to the right), takes
-tanh, and predicts the class of the masked word and then the word within its class (two softmaxes of 32 instead of one
-of 1024). It is written in numpy. A document's score is the sum of log P(word | both sides) over all of its words.
+The vocabulary comes from counts over the whole corpus of N words and grows with it: the sqrt(N) / 2 most frequent words
+(768 at least) have an id each, all others share hashed ids, one to eight of these (256 at least). The network sums one
+embedding per context place (``SIDE`` words to the left and to the right), takes tanh, and predicts the class of the
+masked word and then the word within its class (two softmaxes of about the root of the number of ids). It is written in
+numpy. A word with a shared id has P(id | both sides) times its share of that id's count in the corpus. Tasks hold
+the counts of up to ``KNOWN`` words, which changes no result; those of rarer words are joined. A document's score is
+the sum of log P(word | both sides) over all of its words.
 
 Training covers all documents in ``ROUNDS`` passes. A task starts from the common model, masks every ``MASK``-th place of
 its documents (from a place that depends on the document and the pass), takes Adagrad steps, and hands over its
@@ -17,6 +20,7 @@ count twice in training; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -24,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import parts_of, texts
+from keyloom.llm.common import cut, parts_of, texts
 
 SIDE = 2
 DIM = 16
-CLASSES, MEMBERS = 32, 32
-VOCAB = CLASSES * MEMBERS
+#: The least numbers of ids, and of those that rarer words share.
+VOCAB = 1024
 OOV = 256
-PAD = VOCAB
+#: The last row of the embeddings, whatever their number.
+PAD = -1
+KNOWN = 200_000
 ROUNDS = 2
 MASK = 4
 STEP = 8192
@@ -49,29 +54,43 @@ PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
 
 class Vocabulary(dict):
-    """Word -> id; words that were not counted among the most frequent share hashed ids."""
+    """Word -> code: the place among the known words, most frequent first, or beyond them by the id shared with other words.
+
+    ``ids`` has the network's id of each code. ``own`` has what a word adds to the log-probability of its id: 0 with an
+    id of its own, else the log of its share; beyond the known words the log of its count is still to be added.
+    """
+
+    def __init__(self, words: list[str], n: np.ndarray, single: int, shared: np.ndarray) -> None:
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.args = words, n, single, shared
+        self.known, self.buckets, self.size = len(words), len(shared), single + len(shared)
+        hashed = np.array([bucket(w, len(shared)) for w in words[single:]], np.int64)
+        self.ids = np.concatenate([np.arange(min(single, len(words))), single + hashed, np.arange(single, self.size)])
+        with np.errstate(divide="ignore"):
+            less = -np.log(shared)  # infinite where no word is; such codes do not occur
+        self.own = np.concatenate([np.zeros(min(single, len(words))), np.log(n[single:]) + less[hashed], less])
 
     def __missing__(self, word: str) -> int:
-        return VOCAB - OOV + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OOV
+        return self.known + bucket(word, self.buckets)
 
     def __reduce__(self):
-        return _vocabulary, (list(self),)
+        return Vocabulary, self.args
 
 
-def _vocabulary(words: list[str]) -> Vocabulary:
-    return Vocabulary(zip(words, range(len(words)), strict=True))
+def bucket(word: str, n: int) -> int:
+    return zlib.crc32(word.encode()) % n
 
 
 def tokens(text: str) -> list[str]:
-    return text.lower().split()
+    """The words of a text; a digest of 65 characters stands for a longer one than ``WORD_BYTES``."""
+    return [w if len(w) <= WORD_BYTES else "#" + hashlib.sha256(w.encode()).hexdigest() for w in text.lower().split()]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
-        words = [w for w in counts if len(w) <= WORD_BYTES]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     for b in batches:
         for t in texts(b):
@@ -82,50 +101,69 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def vocabulary(rows: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary of the corpus and a count for each id (at least one)."""
+def layout(vocab: int) -> tuple[int, int]:
+    """Classes and members of a class, for at least ``vocab`` ids."""
+    classes = math.isqrt(vocab - 1) + 1
+    return classes, -(-vocab // classes)
+
+
+def vocabulary(rows: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """The vocabulary of the corpus, a count for each id, and ``(word, n)`` of all words."""
     counts = rows.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("size", F.floor(F.log("n") * 8).cast("int")).persist(StorageLevel.DISK_ONLY)
+    counts = cut(counts.withColumn("size", F.floor(F.log("n") * 8).cast("int")))
     # words by the size of their counts (a few hundred sizes), so that only words near the top are ever sorted
     sizes = counts.groupBy("size").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("size")).collect()
-    total, least, words = sum(r["n"] for r in sizes), 0, 0
+    single = max(VOCAB - OOV, math.isqrt(sum(r["n"] for r in sizes)) // 2)
+    buckets = math.prod(layout(single + max(OOV, single // 8))) - single
+    least, words = 0, 0
     for r in sizes:
-        least, words = r["size"], words + r["words"]
-        if words >= VOCAB - OOV:
+        if words >= single and words + r["words"] > KNOWN:
             break
-    top = counts.where(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(VOCAB - OOV).collect()
-    counts.unpersist()
-    n = np.ones(VOCAB)
-    n[: len(top)] = [r["n"] for r in top]
-    n[VOCAB - OOV :] = max(1.0, (total - sum(r["n"] for r in top)) / OOV)
-    return _vocabulary([r["word"] for r in top]), n
+        least, words = r["size"], words + r["words"]
+    top = counts.where(F.col("size") >= least).select("word", "n")
+    top = (top.orderBy(F.desc("n"), "word").limit(single) if words > max(single, KNOWN) else top).collect()
+    top.sort(key=lambda r: (-r["n"], r["word"].encode()))
+    names, n = [r["word"] for r in top], np.array([r["n"] for r in top], np.float64)
+    shared = np.zeros(buckets)
+    for r in counts.groupBy((F.crc32(F.encode("word", "UTF-8")) % buckets).alias("b")).agg(F.sum("n").alias("n")).collect():
+        shared[r["b"]] = r["n"]
+    for w, k in zip(names[:single], n[:single], strict=True):
+        shared[bucket(w, buckets)] -= k
+    of_ids = np.ones(single + buckets)
+    of_ids[: len(n[:single])] = n[:single]
+    of_ids[single:] = np.maximum(shared, 1)
+    return Vocabulary(names, n, single, shared), of_ids, counts.select("word", "n")
 
 
 class Network:
     """Parameters: context embeddings by place, class weights and biases, word weights and biases by class."""
 
-    SHAPES = {"embed": (len(PLACES), VOCAB + 1, DIM), "lift": (DIM,), "cw": (DIM, CLASSES), "cb": (CLASSES,), "ww": (CLASSES, DIM, MEMBERS), "wb": (CLASSES, MEMBERS)}
-
-    def __init__(self, flat: np.ndarray) -> None:
-        self.flat = flat
+    def __init__(self, flat: np.ndarray, vocab: int = VOCAB) -> None:
+        self.flat, self.vocab = flat, vocab
+        self.classes, self.members = layout(vocab)
         at = 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in self.shapes(vocab).items():
             size = math.prod(shape)
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
 
+    @staticmethod
+    def shapes(vocab: int) -> dict[str, tuple[int, ...]]:
+        classes, members = layout(vocab)
+        return {"embed": (len(PLACES), vocab + 1, DIM), "lift": (DIM,), "cw": (DIM, classes), "cb": (classes,), "ww": (classes, DIM, members), "wb": (classes, members)}
+
     @classmethod
-    def size(cls) -> int:
-        return sum(map(math.prod, cls.SHAPES.values()))
+    def size(cls, vocab: int = VOCAB) -> int:
+        return sum(map(math.prod, cls.shapes(vocab).values()))
 
     @classmethod
     def fresh(cls, counts: np.ndarray) -> Network:
         """Small random embeddings; biases that give the corpus frequencies."""
-        net = cls(np.zeros(cls.size(), np.float32))
+        net = cls(np.zeros(cls.size(len(counts)), np.float32), len(counts))
         rng = np.random.default_rng(7)
         for x in (net.embed, net.cw, net.ww):
             x[...] = rng.normal(0, 0.1, x.shape)
-        p = counts.reshape(MEMBERS, CLASSES).T / counts.sum()
+        p = counts.reshape(net.members, net.classes).T / counts.sum()
         net.cb[...] = np.log(p.sum(axis=1))
         net.wb[...] = np.log(p / p.sum(axis=1, keepdims=True))
         return net
@@ -139,11 +177,11 @@ class Network:
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log P of each word (an id) given its context (places x words)."""
         h = self.hidden(context)
-        cls, member = word % CLASSES, word // CLASSES
+        cls, member = word % self.classes, word // self.classes
         out = _picked(h @ self.cw + self.cb, cls)
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             mine = order[edges[c] : edges[c + 1]]
             if len(mine):
                 out[mine] += _picked(h[mine] @ self.ww[c] + self.wb[c], member[mine])
@@ -153,14 +191,14 @@ class Network:
         """One Adagrad step on a batch; ``seen`` holds the sums of squared gradients."""
         n = np.float32(len(word))
         h = self.hidden(context)
-        cls, member = word % CLASSES, word // CLASSES
+        cls, member = word % self.classes, word // self.classes
         e = _slope(h @ self.cw + self.cb, cls) / n
         back = e @ self.cw.T
         steps = [("cw", h.T @ e), ("cb", e.sum(axis=0))]
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
         ww, wb = np.zeros_like(self.ww), np.zeros_like(self.wb)
-        for c in range(CLASSES):
+        for c in range(self.classes):
             mine = order[edges[c] : edges[c + 1]]
             if len(mine):
                 hc = h[mine]
@@ -173,8 +211,9 @@ class Network:
             acc += grad * grad
             x -= np.float32(RATE) * grad / (np.sqrt(acc) + np.float32(1e-6))
         for j in range(len(PLACES)):
-            order = np.argsort(context[j].astype(np.uint16), kind="stable")
-            ids = context[j][order]
+            ids = (context[j] % (self.vocab + 1)).astype(np.min_scalar_type(self.vocab))
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
             head = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             grad, rows = np.add.reduceat(back[order], head, axis=0), ids[head]
             seen.embed[j][rows] += grad * grad
@@ -207,14 +246,39 @@ def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.flatnonzero(ids != PAD)
 
 
-def _ids(vocab: Vocabulary, text: str) -> np.ndarray:
-    words = tokens(text)
-    return np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
+def _encode(vocab: Vocabulary):
+    """Each text's ids, what its words with shared ids add to its score, and those whose counts are still to be joined."""
+    kind = np.min_scalar_type(vocab.size)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, ids, own, rare = [], [], [], []
+            for t in texts(b):
+                words = tokens(t)
+                codes = np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
+                left = np.flatnonzero(codes >= vocab.known)
+                n.append(len(words))
+                ids.append(vocab.ids[codes].astype(kind).tobytes())
+                own.append(float(vocab.own[codes].sum()))
+                rare.append(" ".join([words[i] for i in left]) if len(left) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(own, pa.float64()), pa.array(rare, pa.string())], names=["doc_id", "n_tokens", "ids", "own", "rare"])
 
-def _train(vocab: Vocabulary, start: np.ndarray, turn: int):
+    return run
+
+
+def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(row, doc_id, n_tokens, ids, own, rare)``, written once for the passes and the scores."""
+    out = rows.mapInArrow(_encode(vocab), "doc_id long, n_tokens long, ids binary, own double, rare string")
+    return cut(out.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _ids(batch: pa.RecordBatch, kind: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind).astype(np.int64) for x in batch.column("ids").to_pylist()]
+
+
+def _train(vocab: int, start: np.ndarray, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Network(start.copy()), Network(np.full(len(start), 1e-8, np.float32))
+        net, seen = Network(start.copy(), vocab), Network(np.full(len(start), 1e-8, np.float32), vocab)
         held: list[np.ndarray] = []
         size = learnt = task = 0
 
@@ -230,8 +294,7 @@ def _train(vocab: Vocabulary, start: np.ndarray, turn: int):
 
         for b in batches:
             task = b.column("task")[0].as_py() if b.num_rows else task
-            for t in texts(b):
-                x = _ids(vocab, t)
+            for x in _ids(b, np.min_scalar_type(vocab)):
                 if len(x):
                     held.append(x)
                     size += len(x)
@@ -265,25 +328,24 @@ def _add(key: str):
     return run
 
 
-def _trained(rows: DataFrame, vocab: Vocabulary, start: Network, turn: int) -> Network:
+def _trained(rows: DataFrame, start: Network, turn: int) -> Network:
     kinds = "block int, task int, weight double, part binary"
     n = parts_of(rows.sparkSession)
-    sums = rows.withColumn("task", F.spark_partition_id()).mapInArrow(_train(vocab, start.flat, turn), kinds)
+    sums = rows.select("ids", F.spark_partition_id().alias("task")).mapInArrow(_train(start.vocab, start.flat, turn), kinds)
     salted = sums.withColumn("salt", F.col("task") % max(1, n // BLOCKS)).repartition(n, "block", "salt").sortWithinPartitions("block", "salt", "task")
     once = salted.mapInArrow(_add("salt"), kinds).repartition(min(n, BLOCKS), "block").sortWithinPartitions("block", "task")
     got = {r["block"]: (r["weight"], np.frombuffer(r["part"], np.float32)) for r in once.mapInArrow(_add("block"), kinds).collect()}
     if not got:
         return start
-    return Network(np.concatenate([got[i][1] / np.float32(got[i][0]) for i in range(BLOCKS)]).astype(np.float32))
+    return Network(np.concatenate([got[i][1] / np.float32(got[i][0]) for i in range(BLOCKS)]).astype(np.float32), start.vocab)
 
 
-def train(rows: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """The vocabulary and network of ``rows(text)``."""
-    vocab, counts = vocabulary(rows)
+def train(rows: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """The network of the encoded ``rows(ids)``, from a count for each id."""
     net = Network.fresh(counts)
     for turn in range(rounds):
-        net = _trained(rows, vocab, net, turn)
-    return vocab, net
+        net = _trained(rows, net, turn)
+    return net
 
 
 def document_scores(docs: list[np.ndarray], net: Network) -> list[float]:
@@ -299,14 +361,14 @@ def document_scores(docs: list[np.ndarray], net: Network) -> list[float]:
     return [float(lp[e - len(d) : e].sum()) for d, e in zip(docs, ends, strict=True)]
 
 
-def scored(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
-    """``(doc_id, n_tokens, log_likelihood, mean_log_prob)`` of each row of ``docs(doc_id, text)``."""
-    flat = net.flat
+def scored(rows: DataFrame, counts: DataFrame, net: Network) -> DataFrame:
+    """``(doc_id, n_tokens, log_likelihood, mean_log_prob)`` of each of the encoded ``rows``; ``counts(word, n)`` of all words."""
+    flat, vocab = net.flat, net.vocab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(flat)
+        own = Network(flat, vocab)
         for b in batches:
-            held = [_ids(vocab, t) for t in texts(b)]
+            held = _ids(b, np.min_scalar_type(vocab))
             out, i = [], 0
             while i < len(held):
                 j, size = i, 0
@@ -315,14 +377,21 @@ def scored(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
                     j += 1
                 out += document_scores(held[i:j], own)
                 i = j
-            n = [len(x) for x in held]
-            mean = [s / k if k else None for s, k in zip(out, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
+            score = np.array(out, np.float64) + np.asarray(b.column("own"), np.float64)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("n_tokens"), pa.array(score, pa.float64())], names=["row", "doc_id", "n_tokens", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+    scores = rows.select("row", "doc_id", "n_tokens", "ids", "own").mapInArrow(run, "row long, doc_id long, n_tokens long, score double")
+    # a word that occurs once adds log 1, so it has no need of a partner; no word here is frequent, as those are known
+    rare = rows.where("rare is not null").select("row", F.explode(F.split("rare", " ")).alias("word"))
+    more = rare.join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    total = F.col("score") + F.coalesce("more", F.lit(0.0))
+    out = scores.join(more, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_prob", F.expr("if(n_tokens > 0, log_likelihood / n_tokens, null)"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Train on ``docs`` and score them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scored(rows, *train(rows, rounds))
+    vocab, of_ids, counts = vocabulary(rows)
+    coded = encoded(rows, vocab)
+    return scored(coded, counts, train(coded, of_ids, rounds))

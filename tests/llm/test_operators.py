@@ -373,6 +373,29 @@ def test_network_probabilities_and_gradient():
     assert net.log_prob(c, padded[places]).sum() > before
 
 
+def test_rare_words_share_an_id_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "VOCAB", 16)
+    monkeypatch.setattr(lm_score, "OOV", 4)
+    docs = [(i, " ".join(f"common{k}" for k in range(60) for _ in range(3))) for i in range(60)]
+    shares = {}
+    for i in range(2000):
+        shares.setdefault(zlib.crc32(f"rare{i}".encode()), f"rare{i}")
+    rare = list(shares.values())
+    docs += [(1000 + i, w) for i, w in enumerate(rare)] + [(5000 + i, rare[0]) for i in range(6)] + [(6000, "y" * 300), (6001, "y" * 300)]
+    df = odd(spark, docs)
+    vocab, of_ids, counts = lm_score.vocabulary(df)
+    n = sum(len(t.split()) for _, t in docs)
+    assert vocab.size == len(of_ids) and of_ids.sum() == n == counts.agg(F.sum("n")).first()[0]
+    assert vocab.size - vocab.buckets == int(n**0.5) // 2 > lm_score.VOCAB  # the words with ids grow with the corpus
+    scores = []
+    for known in (0, 200_000):  # counts joined, counts in the task
+        monkeypatch.setattr(lm_score, "KNOWN", known)
+        scores.append({r["doc_id"]: r["log_likelihood"] for r in lm_score.pseudo_likelihood(df, rounds=1).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9)
+    twin = next(i for i in range(1, len(rare)) if zlib.crc32(rare[i].encode()) % vocab.buckets == zlib.crc32(rare[0].encode()) % vocab.buckets)
+    assert scores[0][1000] - scores[0][1000 + twin] == pytest.approx(np.log(7), rel=1e-6)
+
+
 def test_pfair_schedule():
     blocks, weights = {"a": 40, "b": 17, None: 9, "c": 1}, {"a": 0.5, "b": 0.3, None: 0.15, "c": 0.05}
     rows = list(mixing.schedule(blocks, weights))
