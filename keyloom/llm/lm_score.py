@@ -8,9 +8,9 @@ numpy. A word with a shared id has P(id | both sides) times its share of that id
 the counts of up to ``KNOWN`` words, which changes no result; those of rarer words are joined. A document's score is
 the sum of log P(word | both sides) over all of its words.
 
-Training covers all documents in ``ROUNDS`` passes. A task starts from the common model, masks every ``MASK``-th place of
-its documents (from a place that depends on the document and the pass), takes Adagrad steps, and hands over its
-parameters and the number of places it learnt from; these are summed with weights in two steps, keyed by parameter block
+Training predicts every word of all documents once in ``ROUNDS`` passes: a task starts from the common model, masks every
+``stride``-th place of each document (from a place that moves on by one with the pass; the stride is ``MASK``, or the
+number of passes if that is less), takes Adagrad steps, and hands over its parameters and the number of places it learnt from; these are summed with weights in two steps, keyed by parameter block
 and salted, so what is gathered grows with the input and no task or driver holds more than a model's worth of sums.
 
 Defined cases: null and blank texts have no words, score 0 and a null mean; a text's ends are padded, and no context
@@ -42,7 +42,7 @@ OOV = 256
 PAD = -1
 KNOWN = 200_000
 ROUNDS = 2
-MASK = 4
+MASK = 2
 STEP = 8192
 RATE = 0.1
 SLICE = 1 << 16
@@ -276,7 +276,12 @@ def _ids(batch: pa.RecordBatch, kind: np.dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, kind).astype(np.int64) for x in batch.column("ids").to_pylist()]
 
 
-def _train(vocab: int, start: np.ndarray, turn: int):
+def targets(docs: list[np.ndarray], turn: int, stride: int) -> np.ndarray:
+    """Which words of the documents a pass predicts; ``stride`` passes on end predict each word once."""
+    return np.concatenate([np.arange(len(d)) % stride == turn % stride for d in docs])
+
+
+def _train(vocab: int, start: np.ndarray, turn: int, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = Network(start.copy(), vocab), Network(np.full(len(start), 1e-8, np.float32), vocab)
         held: list[np.ndarray] = []
@@ -285,7 +290,7 @@ def _train(vocab: int, start: np.ndarray, turn: int):
         def learn() -> None:
             nonlocal held, size, learnt
             ids, places = _padded(held)
-            places = places[turn % MASK :: MASK]
+            places = places[targets(held, turn, stride)]
             for i in range(0, len(places), STEP):
                 at = places[i : i + STEP]
                 net.learn(windows(ids, at), ids[at], seen)
@@ -298,7 +303,7 @@ def _train(vocab: int, start: np.ndarray, turn: int):
                 if len(x):
                     held.append(x)
                     size += len(x)
-                if size >= STEP * MASK:
+                if size >= STEP * stride:
                     learn()
         if held:
             learn()
@@ -328,10 +333,10 @@ def _add(key: str):
     return run
 
 
-def _trained(rows: DataFrame, start: Network, turn: int) -> Network:
+def _trained(rows: DataFrame, start: Network, turn: int, stride: int) -> Network:
     kinds = "block int, task int, weight double, part binary"
     n = parts_of(rows.sparkSession)
-    sums = rows.select("ids", F.spark_partition_id().alias("task")).mapInArrow(_train(start.vocab, start.flat, turn), kinds)
+    sums = rows.select("ids", F.spark_partition_id().alias("task")).mapInArrow(_train(start.vocab, start.flat, turn, stride), kinds)
     salted = sums.withColumn("salt", F.col("task") % max(1, n // BLOCKS)).repartition(n, "block", "salt").sortWithinPartitions("block", "salt", "task")
     once = salted.mapInArrow(_add("salt"), kinds).repartition(min(n, BLOCKS), "block").sortWithinPartitions("block", "task")
     got = {r["block"]: (r["weight"], np.frombuffer(r["part"], np.float32)) for r in once.mapInArrow(_add("block"), kinds).collect()}
@@ -344,7 +349,7 @@ def train(rows: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
     """The network of the encoded ``rows(ids)``, from a count for each id."""
     net = Network.fresh(counts)
     for turn in range(rounds):
-        net = _trained(rows, net, turn)
+        net = _trained(rows, net, turn, min(MASK, rounds))
     return net
 
 

@@ -373,6 +373,17 @@ def test_network_probabilities_and_gradient():
     assert net.log_prob(c, padded[places]).sum() > before
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_word_is_a_target(spark, monkeypatch, rounds):
+    docs = [np.arange(10, 10 + n) + 100 * n for n in (1, 2, 3, 7, 40)]
+    seen = Counter()
+    monkeypatch.setattr(lm_score.Network, "learn", lambda self, context, word, seen_: seen.update(word.tolist()))
+    batch = lambda: lm_score.pa.RecordBatch.from_pydict({"ids": [d.astype(np.uint16).tobytes() for d in docs], "task": [0] * len(docs)})
+    monkeypatch.setattr(lm_score, "_trained", lambda rows, net, turn, stride: [list(lm_score._train(net.vocab, net.flat, turn, stride)(iter([batch()]))), net][1])
+    lm_score.train(None, np.ones(lm_score.VOCAB), rounds)
+    assert set(seen) == set(np.concatenate(docs).tolist())
+
+
 def test_rare_words_share_an_id_by_their_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "VOCAB", 16)
     monkeypatch.setattr(lm_score, "OOV", 4)
