@@ -10,27 +10,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, mixing, quality, simhash, suffix_dedup
-from keyloom.llm.common import table
+from keyloom.llm import decontaminate, mixing, near_copies, quality, suffix_dedup
+from keyloom.llm.common import keyed, table
 
 #: No stage but the last can be put in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Documents by a row key that is unique and never null, whatever their ids are."""
+    return keyed(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(c if c in ("doc_id", "text") else f"rest.`{c}`").alias(c) for c in docs.columns]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality trees do not reject."""
     return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The first document, in the order (id, nulls first; text), of each component of near copies."""
+    rows = _rows(docs)
+    return rows.join(near_copies.later_copies(rows).hint("merge"), "rid", "left_anti").select(*_columns(docs))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,34 @@ def test_odd_rows(spark, corpus):
         assert stage(spark, df.limit(0), d).count() == 0
 
 
+def test_near_copies_of_edited_words(spark, tmp_path):
+    rng = random.Random(3)
+    docs = {}
+    for i in range(60):
+        w = words(rng, 90, 10**5).split()
+        docs[100 * i] = " ".join(w)
+        for k in range(1, 5):  # one to four edits, apart from each other and near the ends
+            v = list(docs[100 * i + k - 1].split())
+            v[rng.randrange(90)] = f"edit{k}"
+            docs[100 * i + k] = " ".join(v)
+    docs |= {9000 + i: docs[0] for i in range(3)} | {9100: "", 9101: "  "}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in docs.items()}
+    at = {i: i for i in docs}
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i in docs:
+        for j in docs:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                at[b] = a
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()], COLS)
+    assert {r["doc_id"] for r in p.near_dedup(spark, df, "").collect()} == {find(i) for i in docs} and len({find(i) for i in docs}) < 70
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_sql_of_operators(spark):
     from keyloom.llm import queries
