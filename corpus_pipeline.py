@@ -48,9 +48,10 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; each row counts for itself, whatever its id."""
+    rows = _rows(docs)
+    leaked = decontaminate.leaks(rows.select(F.col("rid").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(leaked.select(F.col("doc_id").alias("rid")).distinct(), "rid", "left_anti").select(*_columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

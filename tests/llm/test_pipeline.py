@@ -67,6 +67,16 @@ def test_odd_rows(spark, corpus):
         assert stage(spark, df.limit(0), d).count() == 0
 
 
+def test_rows_with_odd_ids(spark, corpus):
+    d, docs, _ = corpus
+    leak = docs[304]
+    rows = [(None, docs[1]), (5, docs[1]), (None, docs[2]), (7, docs[3]), (7, docs[4]), (None, leak), (8, leak + " more"), (8, docs[5])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLS)
+    texts = lambda stage: sorted((r["doc_id"] or 0, r["text"]) for r in stage(spark, df, d).collect())
+    assert texts(p.near_dedup) == sorted([(0, docs[1]), (0, docs[2]), (7, docs[3]), (7, docs[4]), (0, leak), (8, docs[5])])
+    assert texts(p.benchmark_filter) == sorted((i or 0, t) for i, t in rows if not t.startswith(leak))
+
+
 def test_near_copies_of_edited_words(spark, tmp_path):
     rng = random.Random(3)
     docs = {}
