@@ -58,13 +58,11 @@ def anchors(bufs: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
             continue
         h = gram_hashes(buf, GRAM)
         w = min_len - GRAM + 1
-        if len(h) < 1 << 24:  # rightmost least hash: 40 bits of hash, then the position, later ones first
-            low = np.uint64((1 << 24) - 1)
-            at = low - (sliding_min((h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), w) & low)
-        else:
-            low = np.uint64((1 << 40) - 1)
-            at = low - (sliding_min((h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), w) & low)
-        at = at[:n].astype(np.int64)
+        low, most = np.uint64((1 << 24) - 1), (1 << 24) - w
+        at = np.empty(n, np.int64)
+        for k in range(0, n, most):  # rightmost least hash: 40 bits of hash, then the position in the slice, later ones first
+            part = h[k : min(k + most, n) + w - 1]
+            at[k : k + most] = k + (low - (sliding_min((part & ~low) | (low - np.arange(len(part), dtype=np.uint64)), w) & low)).astype(np.int64)
         ends = np.cumsum(sizes[i:j])
         begins = ends - sizes[i:j]
         turn = np.flatnonzero(at[1:] != at[:-1]) + 1

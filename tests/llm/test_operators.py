@@ -64,6 +64,20 @@ def test_suffix_dedup_odd_cases(spark):
     assert suffix_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_anchors_of_a_huge_text():
+    """A text of more than 2^24 bytes has the anchors its pieces have."""
+    text = np.random.default_rng(2).integers(0, 256, (1 << 24) + (1 << 20), np.uint8).tobytes()
+    _, start, n, offset, f = suffix_dedup.anchors([text], 100)
+    for a in range(0, len(text), 1 << 22):  # a seed for which least hashes tie in 24 bits, not in 40
+        piece = text[a : a + (1 << 22) + 1000]
+        _, s, m, o, g = suffix_dedup.anchors([piece], 100)
+        inside = (start >= a + 100) & (start + n <= a + len(piece) - 200)
+        whole = set(zip((start + offset)[inside].tolist(), f[inside].tolist(), strict=True))
+        assert whole <= set(zip((a + s + o).tolist(), g.tolist(), strict=True))
+        spans = set(zip(start[inside].tolist(), n[inside].tolist(), (start + offset)[inside].tolist(), strict=True))
+        assert spans and spans <= set(zip((a + s).tolist(), m.tolist(), (a + s + o).tolist(), strict=True))
+
+
 def test_merged_transforms_are_sorted():
     """The merged order is that of all suffixes, and its intervals are the equal prefixes."""
     rng = np.random.default_rng(1)
