@@ -56,7 +56,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.linked(*tool_calls.turns(table(spark, sf_dir, "conversations")))
+    return tool_calls.linked(*tool_calls.turns(table(spark, sf_dir, "conversations")), further=True)
 
 
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ ancestor twice as far away, so a chain of n calls takes about log2 n rounds), an
 order. Calls in a cycle have no level. Rows stay one to a call, so a conversation of any length is spread over tasks.
 
 Defined cases: a call without result is ``unanswered``, a result without call an ``orphan``; of several results of a call
-the one at the earliest place counts (ties: the smaller content), of repeated call identifiers each is linked; an
+the one at the earliest place counts (ties: the smaller content) and the others are ``duplicate`` rows if asked for
+(``further``); each result without call is a row; of repeated call identifiers each is linked; an
 ``after`` that names no call counts as none; null arguments, or arguments that are not JSON objects, are invalid, and
 so are tools without a schema; a null conversation is one of its own; an empty table gives an empty result; extra
 columns are ignored.
@@ -19,7 +20,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut
@@ -124,13 +125,13 @@ def _finish(schemas: dict[str, dict]):
             valid, said, texts = [], [], []
             for conv, call, tool, args, content, after, level, status in zip(*(b.column(c).to_pylist() for c in ("conv_id", "call_id", "tool", "arguments", "content", "after", "level", "status")), strict=True):
                 wrong, value = [], None
-                if status != "orphan":
+                if status not in ("orphan", "duplicate"):
                     try:
                         value = _strict(args)
                         wrong = problems(value, {"type": "object"} | schemas[tool]) if tool in schemas else ["unknown tool"]
                     except (ValueError, RecursionError):
                         value, wrong = args, ["not JSON"]
-                valid.append(None if status == "orphan" else not wrong)
+                valid.append(None if status in ("orphan", "duplicate") else not wrong)
                 said.append("; ".join(wrong))
                 texts.append(canonical({"after": after, "arguments": value, "conversation": conv, "id": call, "level": level, "result": content, "status": status, "tool": tool}))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "call_id", "place", "level", "status")), pa.array(valid, pa.bool_()), pa.array(said, pa.string()), pa.array(texts, pa.string())], names=["conv_id", "call_id", "place", "level", "status", "valid", "problems", "json"])
@@ -138,8 +139,8 @@ def _finish(schemas: dict[str, dict]):
     return run
 
 
-def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] = REPLY) -> DataFrame:
-    """``(conv_id, call_id, place, level, status, valid, problems, json)`` of each call and each orphan result."""
+def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] = REPLY, further: bool = False) -> DataFrame:
+    """``(conv_id, call_id, place, level, status, valid, problems, json)`` of each call and each orphan result; with ``further`` also of each further result of a call."""
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("place", "content")).alias("r"))
     r = first.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"), "r.content", F.col("r.place").alias("answered")).hint("shuffle_hash")
     same = lambda a: (a.conv_id.eqNullSafe(F.col("c2"))) & (a.call_id == F.col("i2"))
@@ -148,5 +149,10 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] = REPL
     met = met.select(calls.conv_id, calls.call_id, "tool", "arguments", "content", "after", "place", F.col("level"), F.when(F.col("i2").isNull(), "unanswered").otherwise("linked").alias("status"))
     named = calls.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2")).distinct()
     none = F.lit(None)
-    orphans = first.join(named, same(first), "left_anti").select("conv_id", "call_id", none.cast("string").alias("tool"), none.cast("string").alias("arguments"), F.col("r.content").alias("content"), none.cast("string").alias("after"), F.col("r.place").alias("place"), none.cast("long").alias("level"), F.lit("orphan").alias("status"))
-    return met.unionByName(orphans).mapInArrow(_finish(schemas), "conv_id long, call_id string, place long, level long, status string, valid boolean, problems string, json string")
+    alone = lambda rows, status: rows.select("conv_id", "call_id", none.cast("string").alias("tool"), none.cast("string").alias("arguments"), F.col("content").cast("string").alias("content"), none.cast("string").alias("after"), "place", none.cast("long").alias("level"), F.lit(status).alias("status"))
+    out = met.unionByName(alone(results.join(named, same(results), "left_anti"), "orphan"))
+    if further:
+        turn = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("place", "content"))
+        later = results.withColumn("turn", turn).where("turn > 1")
+        out = out.unionByName(alone(later.join(named, same(later), "left_semi"), "duplicate"))
+    return out.mapInArrow(_finish(schemas), "conv_id long, call_id string, place long, level long, status string, valid boolean, problems string, json string")

@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and the defined odd cases."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyloom.llm import common, decontaminate, html_main_text, lm_score, mixing, quality, simhash, suffix_dedup, tool_calls, warc_fixity, winnow
+from keyloom.llm import common, decontaminate, html_main_text, lm_score, mixing, quality, queries, simhash, suffix_dedup, tool_calls, warc_fixity, winnow
 
 SCHEMA = "doc_id long, text string"
 EXTRA = SCHEMA + ", source string, part int, rid string, fp long, rest string, n int, task string, bucket int"
@@ -480,6 +481,13 @@ def test_tool_calls(spark):
     assert tool_calls.linked(*tool_calls.turns(talk.limit(0))).count() == 0
 
 
+def test_every_result_has_a_row(spark, tmp_path):
+    talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 5, "assistant", "x"), (2, 5, "assistant", "y"), (None, 1, "tool", None), (None, 1, "tool", None)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = Counter((r["conv_id"], r["status"], json.loads(r["json"])["result"]) for r in queries.op9_tool_calls(spark, str(tmp_path)).collect())
+    assert got == Counter([(1, "linked", "a"), (1, "duplicate", "a"), (1, "duplicate", "b"), (2, "orphan", "x"), (2, "orphan", "y"), (None, "orphan", None), (None, "orphan", None)])
+
+
 def test_row_keys(spark):
     rows = [(3, "b"), (3, "a"), (None, "x"), (1, None), (3, "a")]
     got = [tuple(r) for r in common.keyed(spark.createDataFrame(rows, SCHEMA)).orderBy("rid").select("rid", "doc_id", "text").collect()]
