@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.errors import ConfigError, InvalidOptionName, InvalidOptionValue, KvError, MissingOption, PatternError, StoreError
+from keyloom.errors import ConfigError, ConflictError, InvalidOptionName, InvalidOptionValue, KvError, MissingOption, PatternError, StoreError, TypeConversionError
 from keyloom.functions.pattern import KeyPattern
 from keyloom.operators import discovery, dml
 from keyloom.operators.tables import Bounds, PivotTable, RawTable
+from keyloom.plans import pushdown
 from keyloom.plans.projection import ColumnDef, columns
-from keyloom.sources.store import KvStore
+from keyloom.sources.store import KvStore, State
 from keyloom.streaming.notify import Notifier, channel_name
 
 #: Option names and the words booleans are written with.
 SERVER_OPTIONS = ["db_path", "read_only", "create_if_missing", "block_cache_size", "write_buffer_size", "use_write_batch"]
 TABLE_OPTIONS = ["key_pattern", "prefix_filter", "table_mode"]
 TRUE, FALSE = ["true", "on", "1", "yes"], ["false", "off", "0", "no"]
+#: Prefix of working columns that hold new values.
+SET = "__set_"
+#: How often a statement is run again that another writer has overtaken.
+TRIES = 10
 UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 
 
@@ -86,6 +95,7 @@ def check_table_options(options: Mapping[str, object]) -> str:
 class Server:
     name: str
     options: ServerOptions
+    given: set[str] = field(default_factory=set)
     _store: KvStore | None = field(default=None, repr=False)
 
     def store(self, spark: SparkSession) -> KvStore:
@@ -101,12 +111,41 @@ class Table:
     schema: str
     server: Server
     spec: PivotTable | RawTable
+    options: dict[str, str] = field(default_factory=dict)
 
     @property
     def raw(self) -> bool:
         return isinstance(self.spec, RawTable)
 
 
+def altered(options: Mapping[str, object], changes: list[tuple[str, str, str | None]]) -> dict[str, object]:
+    """Options after (ADD, SET or DROP; name; value) in turn."""
+    out = dict(options)
+    for how, name, value in changes:
+        if how == "ADD" and name in out:
+            raise InvalidOptionName(f'option "{name}" provided more than once')
+        if how != "ADD" and name not in out:
+            raise InvalidOptionName(f'option "{name}" not found')
+        if how == "DROP":
+            del out[name]
+        else:
+            out[name] = value
+    return out
+
+
+@contextmanager
+def typed_errors() -> Iterator[None]:
+    """Text that is no value of its column's type as an error of its own class."""
+    try:
+        yield
+    except KvError:
+        raise
+    except Exception as e:
+        if re.search(r"CAST_INVALID_INPUT|MALFORMED_RECORD_IN_PARSING|invalid input for type|CANNOT_PARSE", str(e)):
+            raise TypeConversionError(str(e).split("\n")[0]) from e
+        raise
+
+
 Condition = Column | str | Mapping[str, object] | None
 
 
@@ -118,6 +157,7 @@ class Engine:
         self.servers: dict[str, Server] = {}
         self.tables: dict[str, Table] = {}
         self.notifier = Notifier(spark)
+        self._heard: list[str] = []
 
     # servers and tables
 
@@ -126,7 +166,7 @@ class Engine:
             if if_not_exists:
                 return self.servers[name]
             raise ConfigError(f'server "{name}" already exists')
-        self.servers[name] = Server(name, ServerOptions.of(options))
+        self.servers[name] = Server(name, ServerOptions.of(options), set(options))
         return self.servers[name]
 
     def drop_server(self, name: str, if_exists: bool = False, cascade: bool = False) -> None:
@@ -148,13 +188,32 @@ class Engine:
             raise ConfigError(f'table "{name}" already exists')
         if server not in self.servers:
             raise ConfigError(f'server "{server}" does not exist')
-        mode = check_table_options(options)
         cols = columns(cols) if isinstance(cols, str) else cols
-        prefix = options.get("prefix_filter")
-        spec = RawTable(name, cols, prefix) if mode == "raw" else PivotTable.of(name, str(options["key_pattern"]), cols, prefix)
-        self.tables[name] = Table(name, schema, self.servers[server], spec)
+        self.tables[name] = Table(name, schema, self.servers[server], self._spec(name, cols, options), dict(options))
         return self.tables[name]
 
+    @staticmethod
+    def _spec(name: str, cols: list[ColumnDef], options: Mapping[str, object]) -> PivotTable | RawTable:
+        mode = check_table_options(options)
+        prefix = options.get("prefix_filter")
+        return RawTable(name, cols, prefix) if mode == "raw" else PivotTable.of(name, str(options["key_pattern"]), cols, prefix)
+
+    def alter_server(self, name: str, changes: list[tuple[str, str, str | None]]) -> None:
+        """Change options of a server by (ADD, SET or DROP; name; value); its tables use them from now on."""
+        if name not in self.servers:
+            raise ConfigError(f'server "{name}" does not exist')
+        server = self.servers[name]
+        server.options = ServerOptions.of(altered({k: v for k, v in asdict(server.options).items() if k in server.given}, changes))
+        server.given = set(altered(dict.fromkeys(server.given, ""), changes))
+        server._store = None
+
+    def alter_table(self, name: str, changes: list[tuple[str, str, str | None]]) -> None:
+        """Change options of a table by (ADD, SET or DROP; name; value)."""
+        t = self._table(name)
+        options = altered(t.options, changes)
+        cols = t.spec.columns if t.raw else t.spec.projection.columns
+        t.spec, t.options = self._spec(name, cols, options), options
+
     def drop_table(self, name: str, if_exists: bool = False) -> None:
         if name not in self.tables:
             if if_exists:
@@ -185,18 +244,58 @@ class Engine:
         handled = sqlddl.run(self, text)
         return handled if handled is not None else self.query(text)
 
-    def query(self, text: str) -> DataFrame:
-        """Spark SQL over views of the tables it names; equalities on leading text captures narrow a lone table's scan."""
-        from keyloom import sqlddl
+    def named(self, text: str) -> list[str]:
+        """Tables that a statement may name."""
+        return [n for n in self.tables if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", text, re.I)]
 
-        lone, same = sqlddl.narrowed(text) or (None, {})
-        for name, t in self.tables.items():
-            if re.search(rf"\b{re.escape(name)}\b", text, re.I):
-                known = {}
-                if name == lone and not t.raw:
-                    known = {k: v for k, v in same.items() if t.spec.projection.is_identity(k) and t.spec.projection.by_name[k].type.spark == "string"}
-                self.table(name, known or None).createOrReplaceTempView(name)
-        return self.spark.sql(text)
+    def query(self, text: str) -> DataFrame:
+        """Spark SQL over views of the tables it names.
+
+        The optimizer is asked first what conditions reach each table, over stand-ins that are never read. Where all
+        uses of a table fix leading text captures or bound the key, its scan is narrowed to their prefixes or ranges; the
+        statement checks its conditions again. The views under the tables' names are whole again once it is analysed.
+        """
+        names = self.named(text)
+        if not names:
+            return self.spark.sql(text)
+        found = self.conditions(text, names) if pushdown.is_query(text) else {}
+        for n in names:
+            self.narrowed(n, found.get(n, [])).createOrReplaceTempView(n)
+        try:
+            return self.spark.sql(text)
+        finally:
+            for n in names:
+                self.table(n).createOrReplaceTempView(n)
+
+    def conditions(self, text: str, names: list[str] | None = None) -> dict[str, list[list[tuple[str, str, object]]]]:
+        """For each use of a table in a query, the comparisons (column, operator, constant) that its rows must meet."""
+        names = self.named(text) if names is None else names
+        for n in names:
+            t = self._table(n)
+            cols = [f"`{c.name}` {c.type.spark}" for c in (t.spec.columns or columns("key TEXT, value TEXT") if t.raw else t.spec.projection.columns)]
+            store = t.server.store(self.spark)
+            pushdown.stand_in(self.spark, n, ", ".join(cols), f"{store.path}/{store.current()[0]}").createOrReplaceTempView(n)
+        try:
+            return pushdown.conditions(self.spark.sql(text))
+        finally:
+            for n in names:
+                self.table(n).createOrReplaceTempView(n)
+
+    def narrowed(self, name: str, uses: list[list[tuple[str, str, object]]]) -> DataFrame:
+        """A table's scan over the entries that its uses can have."""
+        t, kv = self._table(name), self.kv(name)
+        key, tests = F.col("key"), []
+        for terms in uses:
+            if t.raw:
+                bounds = Bounds.of([(op, v) for c, op, v in terms if c == "key" and op in Bounds.OPERATORS and isinstance(v, str)])
+                test = None if bounds.is_unbounded else bounds.condition(key)
+            else:
+                prefix = t.spec.scan_prefix({c: v for c, op, v in terms if op == "=" and isinstance(v, str)})
+                test = key.startswith(prefix) if prefix != t.spec.scan_prefix() else None
+            if test is None:
+                return self.table(name)
+            tests.append(test)
+        return t.spec.scan(kv.where(reduce(or_, tests)) if tests else kv)
 
     def explain(self, name: str, where: Mapping[str, object] | Bounds | None = None, analyze: bool = False) -> str:
         return self._table(name).spec.explain(self.kv(name), where, analyze)
@@ -224,20 +323,51 @@ class Engine:
             rows = rows.where(where)
         return rows
 
-    def _commit(self, t: Table, store: KvStore, ops: DataFrame, touched: int) -> int:
+    @contextmanager
+    def _once(self, store: KvStore, rows: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+        """The rows of a statement, evaluated once and in a fixed order, and their number."""
+        if rows._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation":
+            yield dml.ordered(rows), rows.count()
+            return
+        at = f"{store.path}/_staged/{uuid.uuid4().hex}"
+        dml.ordered(rows).write.parquet(at)
+        try:
+            staged = self.spark.read.parquet(at)
+            yield staged, staged.count()
+        finally:
+            store._fs.delete(store._at(f"_staged/{at.rpartition('/')[2]}"), True)
+
+    def _commit(self, t: Table, store: KvStore, ops: DataFrame, touched: int, based_on: State | None = None) -> int:
         """One delta and one message for a statement that touched a row; nothing for others."""
         if touched:
-            store.apply(ops)
+            if t.server.options.use_write_batch:
+                store.apply(ops, based_on)
+            else:  # operations are visible as they are written
+                store.apply(ops.where(F.col("phase") == dml.DEL), based_on)
+                store.apply(ops.where(F.col("phase") == dml.PUT))
             self.notifier.notify(channel_name(t.schema, t.name), f"{store.path}/_changes", store.version)
         return touched
 
+    def _again(self, statement: Callable[[], int]) -> int:
+        """Run a statement that reads what it changes, again if another writer was faster."""
+        for n in range(TRIES):
+            try:
+                with typed_errors():
+                    return statement()
+            except ConflictError:
+                if n + 1 == TRIES:
+                    raise
+        raise AssertionError
+
     def insert(self, name: str, rows: DataFrame | list[Mapping[str, object]], strict: bool = False) -> int:
         """Insert (or merge into) rows; returns their number."""
         t, store = self._writable(name)
-        if isinstance(rows, list):
-            rows = self._frame(t, rows)
-        ops = dml.raw_put_ops(rows) if t.raw else dml.insert_ops(t.spec, rows, strict)
-        return self._commit(t, store, ops, rows.count())
+        make = dml.raw_put_ops if t.raw else lambda r: dml.insert_ops(t.spec, r, strict)
+        with typed_errors():
+            if isinstance(rows, list):
+                return self._commit(t, store, make(self._frame(t, rows)), len(rows))
+            with self._once(store, rows) as (staged, n):
+                return self._commit(t, store, make(staged), n)
 
     def _frame(self, t: Table, rows: list[Mapping[str, object]]) -> DataFrame:
         cols = t.spec.columns or columns("key TEXT, value TEXT") if t.raw else t.spec.projection.columns
@@ -249,24 +379,39 @@ class Engine:
     def update(self, name: str, changes: Mapping[str, Column | str | int | float | None], where: Condition = None, strict: bool = False) -> int:
         """Set columns (to expressions over the old row, or constants) of the rows that match; returns their number."""
         t, store = self._writable(name)
-        kv = store.read()
-        old = self._old(t, kv, where)
         new = {k: v if isinstance(v, Column) else F.lit(v) for k, v in changes.items()}
-        if t.raw:
-            ops = dml.raw_update_ops(old, new.get("value"))
-        else:
-            if bad := next((k for k in new if k not in t.spec.projection.by_name), None):
-                raise ConfigError(f"unknown column {bad!r}")
-            ops = dml.update_ops(t.spec, kv, old, new, strict)
-        return self._commit(t, store, ops, old.count())
+        kinds = {"key": "string", "value": "string"} if t.raw else {c.name: c.type.spark for c in t.spec.projection.columns}
+        if bad := next((k for k in new if k not in kinds), None):
+            raise ConfigError(f"unknown column {bad!r}")
+
+        def run() -> int:
+            state = store.state()
+            kv = store.read(state)
+            old = self._old(t, kv, where)
+            old = old.select("*", *(v.cast(kinds[k]).alias(f"{SET}{k}") for k, v in new.items()))
+            with self._once(store, old) as (rows, n):
+                given = {k: F.col(f"`{SET}{k}`") for k in new}
+                ops = dml.raw_update_ops(rows, given.get("value")) if t.raw else dml.update_ops(t.spec, kv, rows, given, strict)
+                return self._commit(t, store, ops, n, state)
+
+        return self._again(run)
 
     def delete(self, name: str, where: Condition = None) -> int:
         """Delete the rows that match, with all attributes stored for them; returns their number."""
         t, store = self._writable(name)
-        kv = store.read()
-        old = self._old(t, kv, where)
-        ops = dml.raw_delete_ops(old) if t.raw else dml.delete_ops(t.spec, kv, old)
-        return self._commit(t, store, ops, old.count())
+
+        def run() -> int:
+            state = store.state()
+            kv = store.read(state)
+            with self._once(store, self._old(t, kv, where)) as (rows, n):
+                ops = dml.raw_delete_ops(rows) if t.raw else dml.delete_ops(t.spec, kv, rows)
+                return self._commit(t, store, ops, n, state)
+
+        return self._again(run)
+
+    def compact(self, server: str) -> None:
+        """Merge a store's deltas into a new snapshot; to be called between statements, by whoever keeps the store."""
+        self.servers[server].store(self.spark).compact()
 
     # discovery and notification
 
@@ -283,8 +428,15 @@ class Engine:
         self.create_table(table, server, discovery.columns_of(pattern, found), schema=schema, key_pattern=text)
         return discovery.generate_ddl(table, server, pattern, found)
 
-    def listen(self, channel: str, fn: Callable[[str], None]) -> None:
-        self.notifier.listen(channel, fn)
+    def listen(self, channel: str, fn: Callable[[str], None] | None = None) -> None:
+        """Call ``fn`` with the channel at each message; without it, messages are held for ``notifications``."""
+        self.notifier.listen(channel, fn or self._heard.append)
+
+    def notifications(self) -> list[str]:
+        """The channels of the messages held since the last call, oldest first."""
+        out = list(self._heard)
+        self._heard.clear()
+        return out
 
     def unlisten(self, channel: str, fn: Callable[[str], None] | None = None) -> None:
         self.notifier.unlisten(channel, fn)

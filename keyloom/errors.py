@@ -13,6 +13,10 @@ class StoreError(KvError):
     """A store that cannot be opened, read or written."""
 
 
+class ConflictError(StoreError):
+    """Another writer changed the store in between."""
+
+
 class TypeConversionError(KvError, ValueError):
     """Text that is no value of a column's type."""
 

@@ -2,7 +2,9 @@
 
 ``parse`` has two forms. With one delimiter and the attribute last, the rest of the key is split once into as many parts
 as there are variables. Otherwise an anchored pattern is used whose variables are atomic: each ends at the first
-occurrence of the literal after it and never gives it back, which a merely reluctant group would.
+occurrence of the literal after it and never gives it back, which a merely reluctant group would. It is matched once:
+the key is replaced by its variables with ``MARK`` between them and split at it; a key that holds the mark itself is matched
+variable by variable.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from keyloom.functions.pattern import KeyPattern
 
 
+MARK = "\x01"
+
+
 @dataclass(frozen=True)
 class Parsed:
     """Expressions over a key: whether it matches, and what its variables hold if it does."""
@@ -59,11 +64,17 @@ def parse(pattern: KeyPattern, key: Column) -> Parsed:
             valid = (F.size(parts) == len(variables)) & ~F.array_contains(parts, "")
         valid = key.startswith(prefix) & valid if prefix else valid
     else:
-        expr = F.lit(regex(pattern))
-        valid = F.regexp_like(key, expr)
+        expr, n = regex(pattern), len(variables)
+        one_by_one = F.array(*(F.regexp_extract(key, expr, i + 1) for i in range(n)))
+        if n == 1:
+            valid, values = F.regexp_like(key, F.lit(expr)), [one_by_one.getItem(0)]
+        else:
+            once = F.split(F.regexp_replace(key, expr, MARK.join(f"${i + 1}" for i in range(n))), MARK)
+            marked = F.when(F.regexp_like(key, F.lit(expr)), one_by_one).otherwise(F.array(F.lit("")))
+            parts = F.when(F.contains(key, F.lit(MARK)), marked).otherwise(once)
+            valid, values = F.size(parts) == n, [parts.getItem(i) for i in range(n)]
         if pattern.literal_prefix:
             valid = key.startswith(pattern.literal_prefix) & valid
-        values = [F.regexp_extract(key, regex(pattern), i + 1) for i in range(len(variables))]
     named = dict(zip(variables, values, strict=True))
     attr = named.pop("attr")
     return Parsed(valid, named, attr)

@@ -126,13 +126,14 @@ class PivotTable:
 
 @dataclass
 class Bounds:
-    """A range of keys, or one key."""
+    """A range of keys, one key, or (``nothing``) none at all."""
 
     exact: str | None = None
     lower: str | None = None
     upper: str | None = None
     lower_inclusive: bool = True
     upper_inclusive: bool = False
+    nothing: bool = False
 
     OPERATORS = ("=", "<", "<=", ">", ">=")
 
@@ -144,6 +145,7 @@ class Bounds:
             if op not in cls.OPERATORS:
                 raise ConfigError(f"operator {op!r} does not bound keys")
             if op == "=":
+                b.nothing = b.nothing or b.exact not in (None, v)
                 b.exact = v
             elif op[0] == ">":
                 if b.lower is None or v > b.lower or v == b.lower and op == ">":
@@ -160,25 +162,9 @@ class Bounds:
     def is_unbounded(self) -> bool:
         return self.exact is None and self.lower is None and self.upper is None
 
-    @property
-    def seek_start(self) -> str:
-        return self.exact if self.exact is not None else self.lower or ""
-
-    def is_past_upper(self, key: str) -> bool:
-        if self.exact is not None:
-            return key.encode() > self.exact.encode()
-        return self.upper is not None and (key.encode() > self.upper.encode() or key == self.upper and not self.upper_inclusive)
-
-    def contains(self, key: str) -> bool:
-        if self.exact is not None:
-            return key == self.exact
-        if self.lower is not None and (key.encode() < self.lower.encode() or key == self.lower and not self.lower_inclusive):
-            return False
-        return not self.is_past_upper(key)
-
     def condition(self, key: Column) -> Column:
         """The bounds as plain comparisons, which reach the file scan."""
-        out = F.lit(True)
+        out = F.lit(not self.nothing)
         if self.exact is not None:
             out = out & (key == self.exact)
         if self.lower is not None:
@@ -188,6 +174,8 @@ class Bounds:
         return out
 
     def text(self) -> str:
+        if self.nothing:
+            return "none"
         if self.exact is not None:
             return f"key='{self.exact}'"
         said = [f"key>{'=' * self.lower_inclusive}'{self.lower}'"] if self.lower is not None else []

@@ -15,7 +15,7 @@ from keyloom.functions.pattern import KeyPattern
 from keyloom.operators import discovery, dml
 from keyloom.operators.tables import Bounds, PivotTable, RawTable
 from keyloom.plans.projection import columns
-from keyloom.streaming.notify import channel_name
+from keyloom.streaming.notify import CHANNEL_LENGTH
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -354,8 +354,9 @@ def import_schema_scan(spark, d):
 
 @query("SELECT r_name, substr('public_' || repeat(r_name, 12) || '_changed', 1, 63) AS channel FROM region")
 def notify_channel(spark, d):
-    rows = [(r["r_name"], channel_name("public", r["r_name"] * 12)) for r in base(spark, d, "region").collect()]
-    return spark.createDataFrame(rows, "r_name string, channel string")
+    """The name as a Column expression, cut to as many characters as ``channel_name`` cuts it to."""
+    name = F.concat(F.lit("public_"), F.repeat("r_name", 12), F.lit("_changed"))
+    return base(spark, d, "region").select("r_name", F.substring(name, 1, CHANNEL_LENGTH).alias("channel"))
 
 
 @query("SELECT 2 * count(*) + (SELECT count(*) FROM region) AS keys_scanned, (SELECT count(*) FROM region) AS keys_skipped, count(*) AS rows_returned FROM nation")
@@ -387,7 +388,7 @@ host("join_left", "customer orders", f"SELECT {CO} FROM v_customer c LEFT JOIN v
 host("join_right", "customer orders", f"SELECT {CO} FROM v_orders o RIGHT JOIN v_customer c ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F'")
 host("join_full", "nation supplier", "SELECT n.n_name, s.s_suppkey FROM v_nation n FULL JOIN v_supplier s ON n.n_nationkey = s.s_nationkey + 3")
 host("join_semi", "customer orders", "SELECT c_custkey FROM v_customer c WHERE EXISTS (SELECT 1 FROM v_orders o WHERE o.o_custkey = c.c_custkey)")
-host("join_anti", "customer orders", "SELECT c_custkey FROM v_customer c WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.o_custkey = c.c_custkey)")
+host("join_anti", "customer orders", "SELECT c_custkey FROM v_customer c WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 host("join_cross", "nation region", "SELECT n.n_name, r.r_name FROM v_nation n CROSS JOIN v_region r")
 host("join_theta", "nation region", "SELECT n.n_name, r.r_name FROM v_nation n JOIN v_region r ON n.n_regionkey < r.r_regionkey")
 host("join_range", "supplier nation", "SELECT s.s_suppkey, n.n_nationkey FROM v_supplier s JOIN v_nation n ON n.n_nationkey BETWEEN s.s_nationkey - 1 AND s.s_nationkey + 1")
@@ -410,7 +411,7 @@ host("union", "nation region", "SELECT n_regionkey AS k FROM v_nation UNION SELE
 host("union_all", "nation region", "SELECT n_regionkey AS k FROM v_nation UNION ALL SELECT r_regionkey FROM v_region")
 host("intersect", "customer supplier", "SELECT c_nationkey AS k FROM v_customer INTERSECT SELECT s_nationkey FROM v_supplier")
 host("intersect_all", "customer supplier", "SELECT c_nationkey AS k FROM v_customer INTERSECT ALL SELECT s_nationkey FROM v_supplier")
-host("except", "nation supplier", "SELECT n_nationkey AS k FROM v_nation EXCEPT SELECT s_nationkey FROM v_supplier")
+host("except", "nation supplier", "SELECT n_nationkey AS k FROM v_nation EXCEPT SELECT s_nationkey FROM v_supplier WHERE s_suppkey % 7 = 0")
 host("except_all", "customer supplier", "SELECT c_nationkey AS k FROM v_customer EXCEPT ALL SELECT s_nationkey FROM v_supplier")
 host("in_subquery", "orders customer", "SELECT o_orderkey FROM v_orders WHERE o_custkey IN (SELECT c_custkey FROM v_customer WHERE c_mktsegment = 'BUILDING')")
 host("scalar_subquery", "orders", "SELECT o_orderkey FROM v_orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.98 FROM v_orders)")
@@ -419,7 +420,7 @@ host("cte", "customer nation", "WITH big AS (SELECT c_nationkey, count(*) AS n F
 host("recursive", "region", "WITH RECURSIVE t(i) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT i + 1 FROM t WHERE i < 20) SELECT r_name, i FROM t JOIN v_region ON i % 5 = r_regionkey")
 host("lateral", "nation supplier", "SELECT n.n_name, s.n AS suppliers FROM v_nation n, LATERAL (SELECT count(*) AS n FROM v_supplier s WHERE s.s_nationkey = n.n_nationkey) s")
 host("case", "customer", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 1000 THEN 'low' ELSE 'high' END AS band, coalesce(c_name, '?') AS name, c_custkey % 7 AS m FROM v_customer")
-host("like", "part", "SELECT p_partkey FROM v_part WHERE p_type LIKE '%BRASS%' OR p_name LIKE 'a%'")
+host("like", "part", "SELECT p_partkey FROM v_part WHERE p_type LIKE '%MALL' AND p_name LIKE 'r__ %'")
 host("in_list", "part", "SELECT p_partkey FROM v_part WHERE p_size IN (1, 5, 9) AND p_brand IN ('Brand#1', 'Brand#2')")
 host("strings", "customer", "SELECT c_custkey, upper(c_mktsegment) AS u, length(c_name) AS n, substr(c_name, 3, 4) AS s, replace(c_name, 'C', 'K') AS r, c_name || '-' || c_mktsegment AS j, trim(c_name) AS t FROM v_customer", "SELECT c_custkey, upper(c_mktsegment) AS u, CAST(length(c_name) AS INTEGER) AS n, substr(c_name, 3, 4) AS s, replace(c_name, 'C', 'K') AS r, c_name || '-' || c_mktsegment AS j, trim(c_name) AS t FROM customer")
 host("dates", "orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('MONTH', o_orderdate) AS TIMESTAMP_NTZ) AS mon, CAST(o_orderdate AS DATE) AS day FROM v_orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, date_trunc('month', o_orderdate) AS mon, CAST(o_orderdate AS DATE) AS day FROM orders")

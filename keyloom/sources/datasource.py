@@ -37,8 +37,11 @@ class KvReader(DataSourceReader):
         import pyarrow.dataset as ds
 
         fs, root = _filesystem(self.path)
-        with fs.open_input_file(f"{root}/_CURRENT") as f:
-            base, *deltas = f.read().decode().split()
+        import pyarrow.fs as pfs
+
+        last = max(f.path for f in fs.get_file_info(pfs.FileSelector(root)) if f.base_name.startswith("_CURRENT."))
+        with fs.open_input_file(last) as f:
+            _, base, *deltas = f.read().decode().split()
         files = ds.dataset(f"{root}/{base}", filesystem=fs, format="parquet").files
         return [InputPartition((x, deltas)) for x in files] + [InputPartition(("", deltas))]
 

@@ -29,10 +29,13 @@ _STATEMENTS: list[tuple[re.Pattern, str]] = [
         (rf"DROP\s+FOREIGN\s+TABLE\s+(?P<if>IF\s+EXISTS\s+)?(?P<name>{NAME})(?:\s+CASCADE)?", "drop_table"),
         (rf"IMPORT\s+FOREIGN\s+SCHEMA\s+(?P<name>{NAME})\s+FROM\s+SERVER\s+(?P<server>{NAME})\s+INTO\s+(?P<schema>{NAME})", "import_schema"),
         (rf"INSERT\s+INTO\s+(?P<name>{NAME})\s*(?:\((?P<columns>[^)]*)\)\s*)?(?P<source>(?:VALUES|SELECT|WITH|TABLE|FROM)\b.*?)", "insert"),
-        (rf"UPDATE\s+(?P<name>{NAME})\s+SET\s+(?P<set>.*?)(?:\s+WHERE\s+(?P<where>.*?))?", "update"),
+        (rf"UPDATE\s+(?P<name>{NAME})\s+SET\s+(?P<rest>.*?)", "update"),
         (rf"DELETE\s+FROM\s+(?P<name>{NAME})(?:\s+WHERE\s+(?P<where>.*?))?", "delete"),
+        (rf"ALTER\s+SERVER\s+(?P<name>{NAME})\s+{OPTIONS}", "alter_server"),
+        (rf"ALTER\s+FOREIGN\s+TABLE\s+(?P<name>{NAME})\s+{OPTIONS}", "alter_table"),
+        (rf"LISTEN\s+(?P<name>{NAME})", "listen"),
         (rf"UNLISTEN\s+(?P<name>\*|{NAME})", "unlisten"),
-        (rf"EXPLAIN\s+(?:\((?P<how>[^)]*)\)\s*)?(?P<analyze>ANALYZE\s+)?SELECT\s+.*?\s+FROM\s+(?P<name>{NAME})(?:\s+WHERE\s+(?P<where>.*?))?", "explain"),
+        (r"EXPLAIN\s+(?:\((?P<how>[^)]*)\)\s*)?(?P<analyze>ANALYZE\s+)?(?P<query>(?:SELECT|WITH|FROM|TABLE)\b.*?)", "explain"),
     ]
 ]
 
@@ -49,9 +52,10 @@ def split(text: str, at: str) -> list[str]:
     while i < len(text):
         c = text[i]
         if c in "'\"`":
-            i = text.find(c, i + 1)
-            if i < 0:
-                break
+            raw = c == "`" or i > 0 and text[i - 1] in "rR" and not re.match(r"\w", text[i - 2 : i - 1])  # no escapes inside
+            i += 1
+            while i < len(text) and text[i] != c:
+                i += 1 + (text[i] == "\\" and not raw)
         elif c in "([":
             depth += 1
         elif c in ")]":
@@ -74,36 +78,15 @@ def options(text: str | None) -> dict[str, str]:
     return out
 
 
-def equalities(where: str | None) -> tuple[dict[str, str], list[tuple[str, str, str]]]:
-    """Top-level comparisons of a column with a string constant: equalities by column, and all as (column, op, constant)."""
-    same, found = {}, []
-    turned = {"=": "=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
-    for part in split(where, r"\bAND\b") if where else []:
-        if m := re.fullmatch(rf"\s*({NAME})\s*(<=|>=|=|<|>)\s*({STRING})\s*", part):
-            name, op, v = unquoted(m[1]), m[2], m[3]
-        elif m := re.fullmatch(rf"\s*({STRING})\s*(<=|>=|=|<|>)\s*({NAME})\s*", part):
-            name, op, v = unquoted(m[3]), turned[m[2]], m[1]
-        else:
-            continue
-        v = v[1:-1].replace("''", "'")
-        found.append((name, op, v))
-        if op == "=":
-            same[name] = v
-    return same, found
-
-
-_ONE_TABLE = re.compile(rf"SELECT\s+(?:(?!\bFROM\b).)*?\s+FROM\s+(?P<name>{NAME})\s+WHERE\s+(?P<where>.*?)(?:\s+(?:GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b.*?)?\s*;?\s*", re.I | re.S)
-
-
-def narrowed(text: str) -> tuple[str, dict[str, str]] | None:
-    """The table and the equalities of a SELECT over one table whose condition is a plain conjunction, else None.
-
-    They may narrow the table's scan, as the statement checks its condition again.
-    """
-    m = _ONE_TABLE.fullmatch(text.strip())
-    if not m or len(re.findall(r"\bFROM\b", text, re.I)) > 1 or len(split(m["where"], r"\b(?:OR|NOT)\b|\bUNION\b|\bEXCEPT\b|\bINTERSECT\b")) > 1:
-        return None
-    return unquoted(m["name"]), equalities(m["where"])[0]
+def changes(text: str) -> list[tuple[str, str, str | None]]:
+    """(ADD, SET or DROP; name; value) of each option of an ALTER statement; ADD need not be written."""
+    out = []
+    for part in split(text, ","):
+        m = re.fullmatch(rf"\s*(?:(ADD|SET|DROP)\s+)?(\w+)(?:\s+({STRING}))?\s*", part, re.I | re.S)
+        if not m or ((m[1] or "").upper() == "DROP") == (m[3] is not None):
+            raise ConfigError(f"option {part.strip()!r} cannot be read")
+        out.append(((m[1] or "ADD").upper(), m[2], m[3] and m[3][1:-1].replace("''", "'")))
+    return out
 
 
 def run(engine: Engine, text: str) -> DataFrame | None:
@@ -112,7 +95,7 @@ def run(engine: Engine, text: str) -> DataFrame | None:
         if m := pattern.fullmatch(text.strip()):
             g = m.groupdict()
             name = unquoted(g["name"]) if g.get("name") else None
-            if kind in ("insert", "update", "delete", "explain") and name not in engine.tables:
+            if kind in ("insert", "update", "delete") and name not in engine.tables or kind == "explain" and not engine.named(g["query"]):
                 continue
             return globals()[f"_{kind}"](engine, name, g)
     return None
@@ -162,11 +145,11 @@ def _insert(engine: Engine, name: str, g: dict) -> DataFrame:
 
 
 def _update(engine: Engine, name: str, g: dict) -> DataFrame:
-    changes = {}
-    for part in split(g["set"], ","):
+    new, (given, *where) = {}, split(g["rest"], r"\bWHERE\b")
+    for part in split(given, ","):
         col, _, value = part.partition("=")
-        changes[unquoted(col.strip())] = F.expr(value.strip())
-    return _said(engine, "UPDATE", engine.update(name, changes, _condition(engine, g["where"])))
+        new[unquoted(col.strip())] = F.expr(value.strip())
+    return _said(engine, "UPDATE", engine.update(name, new, _condition(engine, where[0] if where else None)))
 
 
 def _delete(engine: Engine, name: str, g: dict) -> DataFrame:
@@ -182,18 +165,38 @@ def _condition(engine: Engine, where: str | None) -> str | None:
     return where
 
 
+def _alter_server(engine: Engine, name: str, g: dict) -> DataFrame:
+    engine.alter_server(name, changes(g["options"]))
+    return _said(engine, "ALTER SERVER")
+
+
+def _alter_table(engine: Engine, name: str, g: dict) -> DataFrame:
+    engine.alter_table(name, changes(g["options"]))
+    return _said(engine, "ALTER FOREIGN TABLE")
+
+
+def _listen(engine: Engine, name: str, g: dict) -> DataFrame:
+    """Messages of the channel are held until ``Engine.notifications`` takes them."""
+    engine.listen(name)
+    return _said(engine, "LISTEN")
+
+
 def _unlisten(engine: Engine, name: str, g: dict) -> DataFrame:
     engine.unlisten(name)
     return _said(engine, "UNLISTEN")
 
 
-def _explain(engine: Engine, name: str, g: dict) -> DataFrame:
+def _explain(engine: Engine, name: None, g: dict) -> DataFrame:
+    """What narrows the scan of each use of a table, with ANALYZE its counters, and Spark's plan of the whole query."""
     analyze = bool(g["analyze"]) or "analyze" in (g["how"] or "").lower()
-    t = engine.tables[name]
-    same, found = equalities(g["where"])
-    if t.raw:
-        where = Bounds.of([(op, v) for c, op, v in found if c == "key"])
-    else:
-        where = {c: v for c, v in same.items() if t.spec.projection.is_identity(c)}
-    lines = engine.explain(name, where, analyze).split("\n")
-    return engine.spark.createDataFrame([(f"Foreign Scan on {name}",), *((f"  {x}",) for x in lines if x)], "plan string")
+    lines = []
+    for table, uses in engine.conditions(g["query"]).items():
+        t = engine.tables[table]
+        for terms in uses:
+            if t.raw:
+                where = Bounds.of([(op, v) for c, op, v in terms if c == "key" and isinstance(v, str)])
+            else:
+                where = {c: v for c, op, v in terms if op == "=" and t.spec.projection.is_identity(c)}
+            lines += [f"Foreign Scan on {table}", *(f"  {x}" for x in engine.explain(table, where, analyze).split("\n") if x)]
+    plan = engine.spark._jvm.PythonSQLUtils.explainString(engine.query(g["query"])._jdf.queryExecution(), "simple")
+    return engine.spark.createDataFrame([(x,) for x in [*lines, *plan.rstrip().split("\n")]], "plan string")

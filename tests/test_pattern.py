@@ -10,22 +10,22 @@ from keyloom.functions.pattern import KeyPattern
 from keyloom.functions.types import column_type
 from keyloom.plans.projection import Projection, columns
 
-USERS = "users##{group_name}##{id}##{attr}"
+SHELF = "shelf##{room}##{row}##{attr}"
 
 
 @pytest.mark.parametrize(
     "text,message",
     [
         ("", "Key pattern cannot be empty"),
-        ("users##{group##id", "Unclosed '{' in pattern at position 7"),
-        ("users##{}##{attr}", "Empty placeholder '{}' in pattern"),
-        ("a{b-c}/{attr}", "Invalid character '-' in placeholder name 'b-c'"),
+        ("shelf##{room##row", "Unclosed '{' in pattern at position 7"),
+        ("jar//{}//{attr}", "Empty placeholder '{}' in pattern"),
+        ("q{left-hand}/{attr}", "Invalid character '-' in placeholder name 'left-hand'"),
         ("a/{attr}/{attr}", "Multiple {attr} segments in pattern"),
         ("a/{x}/{x}/{attr}", "Duplicate capture name 'x' in pattern"),
         ("a/{x}/{y}", "Pattern must contain {attr} segment"),
         ("a/{attr}{x}", "{attr} must be followed by a literal delimiter or end of pattern"),
         ("a/{x}{y}/{attr}", "Consecutive variable segments without delimiter between them"),
-        ("users##{group##{attr}", "Invalid character '#' in placeholder name 'group##{attr'"),
+        ("jar//{lid//{attr}", "Invalid character '/' in placeholder name 'lid//{attr'"),
     ],
 )
 def test_bad_patterns(text, message):
@@ -34,10 +34,10 @@ def test_bad_patterns(text, message):
 
 
 def test_lookups():
-    p = KeyPattern(USERS)
-    assert p.capture_names == ("group_name", "id") and p.capture_count == 2
-    assert p.literal_prefix == "users##" and p.attr_index == 5 and p.has_attr
-    assert p.capture_index("id") == 1 and p.capture_index("attr") == -1 and not p.has_capture("attr")
+    p = KeyPattern(SHELF)
+    assert p.capture_names == ("room", "row") and p.capture_count == 2
+    assert p.literal_prefix == "shelf##" and p.attr_index == 5 and p.has_attr
+    assert p.capture_index("row") == 1 and p.capture_index("attr") == -1 and not p.has_capture("attr")
     assert KeyPattern("a}b/{attr}").segments[0].text == "a}b/"
     assert KeyPattern("cfg/{attr}").capture_count == 0
 
@@ -45,15 +45,15 @@ def test_lookups():
 @pytest.mark.parametrize(
     "pattern,key,want",
     [
-        (USERS, "users##admins##user001##name", (("admins", "user001"), "name")),
-        ("this###{arg}__{sub_arg}##pat##{attr}", "this###sales__west##pat##revenue", (("sales", "west"), "revenue")),
-        ("{tenant}:{env}/{service}/{attr}", "acme:prod/api/requests", (("acme", "prod", "api"), "requests")),
-        (USERS, "other##a##b##c", None),
-        (USERS, "users##admins##user001", None),
-        (USERS, "users####user001##name", None),
-        (USERS, "users##admins##user001##name##extra", (("admins", "user001"), "name##extra")),
-        (USERS, "users##a#b##c-d_e##x", (("a#b", "c-d_e"), "x")),
-        ("a/{attr}/{id}", "a/x/y/z", (("y/z",), "x")),
+        (SHELF, "shelf##attic##7##label", (("attic", "7"), "label")),
+        ("yield={kind}~{week}/q/{attr}", "yield=leek~w31/q/kilos", (("leek", "w31"), "kilos")),
+        ("{site}.{line}@{unit}.{attr}", "hill.a@u1.moist", (("hill", "a", "u1"), "moist")),
+        (SHELF, "rack##attic##7##label", None),
+        (SHELF, "shelf##attic##7", None),
+        (SHELF, "shelf####7##label", None),
+        (SHELF, "shelf##attic##7##label##de", (("attic", "7"), "label##de")),
+        (SHELF, "shelf##at#tic##7-b_c##x", (("at#tic", "7-b_c"), "x")),
+        ("z/{attr}/{id}", "z/x/y/w", (("y/w",), "x")),
     ],
 )
 def test_parse(pattern, key, want):
@@ -61,29 +61,29 @@ def test_parse(pattern, key, want):
 
 
 def test_build_and_prefix():
-    p = KeyPattern(USERS)
-    assert p.build(["admins", "u1"], "name") == "users##admins##u1##name"
-    assert p.build({"id": "u1", "group_name": "g"}, "name") == "users##g##u1##name"
-    assert [p.build_prefix(v) for v in ([], ["g"], ["g", "i"])] == ["users##", "users##g##", "users##g##i##"]
-    assert p.starts_with_prefix("users##x") and not p.starts_with_prefix("user")
-    assert p.leading({"id": "u1"}) == [] and p.leading({"id": "u1", "group_name": "g"}) == ["g", "u1"]
-    for values, attr, message in ((["a"], "x", "Expected 2 capture values, got 1"), (["a", "b"], "", "attr_name cannot be empty"), (["a", ""], "x", "Capture value for 'id' cannot be empty"), ({"id": "a"}, "x", "Missing capture value for 'group_name'")):
+    p = KeyPattern(SHELF)
+    assert p.build(["attic", "7"], "label") == "shelf##attic##7##label"
+    assert p.build({"row": "7", "room": "hall"}, "label") == "shelf##hall##7##label"
+    assert [p.build_prefix(v) for v in ([], ["hall"], ["hall", "7"])] == ["shelf##", "shelf##hall##", "shelf##hall##7##"]
+    assert p.starts_with_prefix("shelf##x") and not p.starts_with_prefix("shel")
+    assert p.leading({"row": "7"}) == [] and p.leading({"row": "7", "room": "hall"}) == ["hall", "7"]
+    for values, attr, message in ((["a"], "x", "Expected 2 capture values, got 1"), (["a", "b"], "", "attr_name cannot be empty"), (["a", ""], "x", "Capture value for 'row' cannot be empty"), ({"row": "a"}, "x", "Missing capture value for 'room'")):
         with pytest.raises(PatternError, match=message):
             p.build(values, attr)
 
 
-PATTERNS = [USERS, "u#{a}#{attr}", "{a}##{attr}", "this###{a}__{b}##p##{attr}", "{t}:{e}/{s}/{attr}", "a/{attr}/{id}", "cfg/{attr}", "x.{a}.{attr}.end", "\\E{a}\\E{attr}", "##{a}#{b}##{attr}"]
+PATTERNS = [SHELF, "u#{a}#{attr}", "{a}##{attr}", "yield={a}~~{b}##p##{attr}", "{t}.{e}@{s}.{attr}", "a/{attr}/{id}", "cfg/{attr}", "x.{a}.{attr}.end", "\\E{a}\\E{attr}", "##{a}#{b}##{attr}"]
 
 
 def test_expressions_agree_with_parse(spark):
     rng = random.Random(5)
-    bits = ["users", "u", "a", "this###", "##", "#", "__", ":", "/", ".", "p", "x", "end", "\\E", "", "é", "\n", "cfg"]
+    bits = ["shelf", "u", "a", "yield=", "##", "#", "~~", "@", "/", ".", "p", "x", "end", "\\E", "", "é", "\n", "cfg", "\x01"]
     keys = []
     for pattern in PATTERNS:
         p = KeyPattern(pattern)
         for _ in range(400):
             keys.append("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))))
-            keys.append(p.build([rng.choice(["a", "b#", "x/y", "é", "a.b", "__"]) for _ in p.capture_names], rng.choice(["n", "n##m", "é/"])))
+            keys.append(p.build([rng.choice(["a", "b#", "x/y", "é", "a.b", "~~", "k\x01"]) for _ in p.capture_names], rng.choice(["n", "n##m", "é/"])))
     keys = sorted(set(keys))
     df = spark.createDataFrame([(k,) for k in keys], "key string")
     for pattern in PATTERNS:
@@ -108,9 +108,9 @@ def test_types(spark):
 
 
 def test_projection():
-    p = KeyPattern(USERS)
-    ok = Projection(p, columns('id TEXT NOT NULL, name TEXT, "group_name" TEXT'))
-    assert [c.name for c in ok.identity] == ["group_name", "id"] and [c.name for c in ok.attrs] == ["name"]
-    for ddl, message in (("id TEXT, name TEXT", "Pattern has 2 capture segments but projection has 1 identity columns"), ("id TEXT, group_name TEXT", "at least one attr column"), ("id TEXT, id TEXT, group_name TEXT, n TEXT", "Duplicate column name: id")):
+    p = KeyPattern(SHELF)
+    ok = Projection(p, columns('row TEXT NOT NULL, label TEXT, "room" TEXT'))
+    assert [c.name for c in ok.identity] == ["room", "row"] and [c.name for c in ok.attrs] == ["label"]
+    for ddl, message in (("row TEXT, label TEXT", "Pattern has 2 capture segments but projection has 1 identity columns"), ("row TEXT, room TEXT", "at least one attr column"), ("row TEXT, row TEXT, room TEXT, n TEXT", "Duplicate column name: row")):
         with pytest.raises(ConfigError, match=message):
             Projection(p, columns(ddl))
