@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A value with more than one row in so many is hot.
+HOT = 4096
 #: Rows of a text column handled by numpy at once.
 CHUNK_BYTES = 1 << 18
 
@@ -18,17 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only a local master may leave it unset and gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = _OWN.setdefault("folder", _OWN.get("folder") or tempfile.mkdtemp(prefix="keyloom-"))
+    return at.rstrip("/")
+
+
+_OWN: dict[str, str] = {}
+
+
+#: Rows and bytes that a worker is given at once while a table is written; buffers for more are never given back.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of texts for workers are bounded in what is run meanwhile; the session's settings are put back."""
+    was = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """``df`` written as a table in the shared folder and read back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is made.
+    Its lineage ends there, it is computed once (a checkpoint computes its last stage twice), and its size is known.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    at = f"{shared(df.sparkSession)}/keyloom-{uuid.uuid4().hex}"
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def parts_of(spark: SparkSession) -> int:
@@ -59,28 +94,76 @@ def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     return ranged.select((F.element_at(first, part).cast("long") + within).alias("rid"), "doc_id", "text", "rest")
 
 
+def spread(rows: DataFrame, sized: DataFrame, on: str) -> DataFrame:
+    """``rows`` joined with ``sized(on, ..., n)`` on a column, where n counts the rows of a value and is left out.
+
+    Values with more than one row in ``HOT`` are fewer than ``HOT``, whatever the input; these are broadcast, so that their
+    rows stay where they are. The others are joined by a shuffle. ``sized`` is read several times.
+    """
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT > total
+    hot, cold = F.broadcast(sized.where(is_hot).drop("n")), sized.where(~is_hot).drop("n")
+    left = rows.join(F.broadcast(sized.where(is_hot).select(on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(left.join(cold.hint("merge"), on))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in both directions, sorted by (u, salt, v) -> each group's nodes linked to its least.
+
+    A group with one neighbour, a smaller one, needs no row: that neighbour's group has one for it. ``open`` marks groups
+    of more neighbours with a smaller one among them; where there are none, the edges are stars.
+    """
+    key, first, last = None, 0, 0
+    for b in batches:
+        u, salt, v = (np.asarray(b.column(c), dtype=np.int64) for c in ("u", "salt", "v"))
+        if not len(u):
+            continue
+        head = np.append(key != (u[0], salt[0]), (u[1:] != u[:-1]) | (salt[1:] != salt[:-1]))
+        at = np.flatnonzero(head)
+        least = np.concatenate([np.full(at[0] if len(at) else len(u), first), np.repeat(v[at], np.diff(np.append(at, len(u))))])
+        before = np.append(last, v[:-1])
+        new = head | (v != before)
+        low = np.minimum(u, least)
+        linked = new & (v != low)
+        opened = new & ~head & (least < u)
+        own = opened & (before == least)  # the second neighbour
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([v[linked], u[own]])), pa.array(np.concatenate([low[linked], low[own]])), pa.array(np.concatenate([opened[linked], opened[own]]))],
+            names=["u", "v", "open"],
+        )
+        key, first, last = (u[-1], salt[-1]), least[-1], v[-1]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges(a, b)`` (longs); root is the smallest node.
 
-    Alternates large-star and small-star steps on executors until the edges stand still. Each step's lineage is cut,
-    hubs are only ever aggregated by ``min`` before a join, and nothing but two numbers a round reaches the driver.
+    Each round links every node's neighbours, and the node itself, to the smallest of them (hash-to-min), in one shuffle
+    and in a stream, until only stars are left. A node with more than a 1024th of all neighbours has them dealt to 64 groups
+    that find their smallest for themselves; such nodes are fewer than 1024, and only they reach the driver.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    n = parts_of(edges.sparkSession)
+    e = cut(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        degrees = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
+        hubs = degrees.where(F.col("n") > max(1000, 2 * e.count() // 1024)).collect()
+        salt = F.when(F.col("u").isin([r["u"] for r in hubs]), F.pmod(F.xxhash64("v"), F.lit(64))).otherwise(0) if hubs else F.lit(0)
+        dealt = both.withColumn("salt", salt.cast("long")).repartition(n, "u", "salt").sortWithinPartitions("u", "salt", "v")
+        e = cut(dealt.mapInArrow(_stars, "u long, v long, open boolean"))
+        if not any(r["least"] < r["u"] for r in hubs) and e.where("open").limit(1).isEmpty():
             break
-        mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def one_thread() -> None:
+    """Have the matrix products of a task's worker run on one thread: further ones mostly wait, and their core is another task's."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
