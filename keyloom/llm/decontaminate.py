@@ -1,37 +1,44 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items become sequences of words (lower case, letters and digits only). A document is tiled with
-an item if they share a seed of ``SEED`` consecutive words: seeds of the items are hashed, and a document's seeds are
-looked up among them. For such a pair the longest match of words unmarked on both sides is found by running Karp-Rabin
-(all grams of the current length are hashed on both sides and equal hashes are compared word by word; the length falls
-until a match appears, and matches are extended to their end), marked, and so on down to ``MIN_MATCH`` words. Marked
-words never match again, so tiles do not overlap, and passages may have been moved or interleaved. The item leaked if
-at least ``COVERAGE`` of its words are tiled.
-
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, a stated query set against all documents; a block is
-all that is sent to the tasks, so its size is bounded whatever the benchmark's is.
+Documents and benchmark items become sequences of words (lower case, letters and digits only). For a document and an item,
+the longest match of words unmarked on both sides is found by running Karp-Rabin (all grams of the current length are
+hashed on both sides and equal hashes are compared word by word; the length falls until a match appears, and matches are
+extended to their end), marked, and so on down to ``MIN_MATCH`` words. Marked words never match again, so tiles do not
+overlap, and passages may have been moved or interleaved. The item leaked if at least ``COVERAGE`` of its words are tiled.
+
+Which pairs are tiled is found by a join on hashed seeds of ``MIN_MATCH`` words, and no leak is lost: tiles of m words or more
+that cover ``hits`` words hold at least hits / m of the item's seeds, so a pair that shares fewer than
+``COVERAGE`` * words / m of them cannot leak. Seeds that very many documents have may be left out of the join as far as an
+item's other seeds still decide; the number it has to share falls by as many. Seeds of documents that no item has are
+dropped where they arise, by a bit table of fixed size over the items' seeds, which may let others pass and costs no leak.
 
 Defined cases: null text has no words; an item of fewer words than a seed needs all of its words in one piece; an item
-without words never leaks; repeated rows give repeated results; equal coverages are both reported; an empty table gives
-an empty result; extra columns are ignored.
+without words never leaks; repeated rows, of documents or items, give repeated results; equal coverages are both reported;
+a very long text is held by one row at a time; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import gram_hashes, texts
+from keyloom.llm.common import HOT, cut, gram_hashes, keyed, texts
 
-SEED = 5
 MIN_MATCH = 3
 COVERAGE = 0.6
-BLOCK_WORDS = 200_000
+#: Bits of the table of the items' seeds.
+BITS = 1 << 24
+#: Rows that are broadcast at most, counted first; more are joined by a shuffle.
+FEW = 1 << 18
+#: Words whose hashes a task keeps.
+KNOWN = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -96,48 +103,116 @@ def _reach(item: np.ndarray, doc: np.ndarray, mine: np.ndarray, yours: np.ndarra
     return lo
 
 
-class Block:
-    """A block of benchmark items, ready to be looked up."""
-
-    def __init__(self, items: list[tuple[int, str]], seed: int) -> None:
-        self.ids: dict[str, int] = {}
-        self.items = []
-        for item_id, text in items:
-            x = np.array([self.ids.setdefault(w, len(self.ids)) for w in words(text)], np.int64)
-            if len(x):
-                self.items.append((item_id, x))
-        self.seeds = {}
-        for n in sorted({min(seed, len(x)) for _, x in self.items}):
-            own = [(k, gram_hashes(x, n)) for k, (_, x) in enumerate(self.items) if min(seed, len(x)) == n]
-            h, k = np.concatenate([g for _, g in own]), np.concatenate([np.full(len(g), k) for k, g in own])
-            order = np.argsort(h, kind="stable")
-            self.seeds[n] = h[order], k[order]
-
-    def candidates(self, doc: np.ndarray) -> list[int]:
-        """Items that share a seed with the document's ids."""
-        out: set[int] = set()
-        for n, (seeds, owner) in self.seeds.items():
-            at, h = _grams(doc, doc >= 0, n)
-            if len(at):
-                lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
-                for i in np.flatnonzero(hi > lo):
-                    out.update(owner[lo[i] : hi[i]].tolist())
-        return sorted(out)
-
-
-def _against(block: Block, least: int, coverage: float):
+class _Words(dict):
+    """Word -> 64-bit hash."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KNOWN:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        found = words(text)
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+def seeds(x: np.ndarray, n: int) -> np.ndarray:
+    """The distinct hashes of the n-grams of hashed words."""
+    return np.unique(gram_hashes(x, n) ^ np.uint64(n)) if len(x) >= n else np.empty(0, np.uint64)
+
+
+def _item_seeds(least: int, coverage: float):
+    """Items -> their seeds with how often each occurs, the number of their words, and the number of seeds to share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _Words()
+        for b in batches:
+            rows = []
+            for iid, text in zip(b.column("rid").to_pylist(), texts(b), strict=True):
+                x = hashed.of(text)
+                n = min(least, len(x))
+                if n:
+                    own, times = np.unique(gram_hashes(x, n) ^ np.uint64(n), return_counts=True)
+                    need = max(1, math.ceil(coverage * len(x) / n - 1e-9))
+                    rows += [(iid, n, need, int(s), int(t)) for s, t in zip(own.view(np.int64), times, strict=True)]
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["iid", "size", "need", "seed", "times"])
+
+    return run
+
+
+def _bits(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a seed in the table."""
+    low = np.uint64(BITS - 1)
+    return (seed & low).astype(np.int64), (seed >> np.uint64(32) & low).astype(np.int64)
+
+
+def _table(items: DataFrame) -> np.ndarray:
+    """The bit table of the items' seeds."""
+    mask = BITS - 1
+    places = F.array(F.col("seed").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(mask)))
+    word = items.select(F.explode(places).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    found = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
+    return out
+
+
+def _document_seeds(sizes: list[int], table: np.ndarray):
+    """Documents -> those of their seeds that an item may have."""
+
+    def has(at: np.ndarray) -> np.ndarray:
+        return (table[at >> 6] >> (at & 63) & 1).astype(bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _Words()
+        for b in batches:
+            found = []
+            for text in texts(b):
+                x = hashed.of(text)
+                own = np.concatenate([seeds(x, n) for n in sizes])
+                one, two = _bits(own)
+                own = own[has(one)]
+                found.append(own[has(two[has(one)])] if len(own) else own)
+            rid = np.repeat(np.asarray(b.column("rid"), np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(found).view(np.int64) if found else rid)], names=["rid", "seed"])
+
+    return run
+
+
+def candidates(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """``(rid, iid)`` of all pairs of ``docs(rid, text)`` and ``items(rid, text)`` that share as many seeds as a leak must."""
+    own = cut(items.select("rid", "text").mapInArrow(_item_seeds(least, coverage), "iid long, size long, need long, seed long, times long"))
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # 1 to the least match
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "rid long, iid long")
+    held = cut(docs.select("rid", "text").mapInArrow(_document_seeds(sizes, _table(own)), "rid long, seed long"))
+    often = held.groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
+    hot = F.broadcast(cut(often.where(F.col("docs") * HOT > held.count())))  # fewer than HOT
+    # an item does without its most common hot seeds while it has to share others
+    by_item = Window.partitionBy("iid").orderBy(F.desc("docs"), "seed")
+    crowded = own.join(hot, "seed").withColumn("gone", F.sum("times").over(by_item)).where("gone < need").select("iid", "seed", "gone")
+    spared = crowded.groupBy("iid").agg(F.max("gone").alias("spared"))
+    kept = own.join(crowded.select("iid", "seed"), ["iid", "seed"], "left_anti").join(spared, "iid", "left")
+    kept = cut(kept.select("iid", "seed", "times", (F.col("need") - F.coalesce("spared", F.lit(0))).alias("need")))
+    pairs = held.join(F.broadcast(kept) if kept.count() <= FEW else kept.hint("merge"), "seed")
+    return pairs.groupBy("rid", "iid").agg(F.sum("times").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("rid", "iid")
+
+
+def _tiled(least: int, coverage: float):
+    """Candidate pairs with both texts -> those that leak."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = block.ids.get
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                doc = np.array([get(w, -1) for w in words(text)], np.int64)
-                for k in block.candidates(doc):
-                    item_id, x = block.items[k]
-                    tiles = tile(x, doc, min(least, len(x)))
-                    hit = sum(t[2] for t in tiles)
-                    if hit >= coverage * len(x):
-                        out.append((doc_id, item_id, len(x), hit, len(tiles), hit / len(x)))
+            for doc_id, item_id, text, item in zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), texts(b), texts(b, "item"), strict=True):
+                ids: dict[str, int] = {}
+                x = np.array([ids.setdefault(w, len(ids)) for w in words(item)], np.int64)
+                tiles = tile(x, np.array([ids.get(w, -1) for w in words(text)], np.int64), min(least, len(x)))
+                hit = sum(t[2] for t in tiles)
+                if hit >= coverage * len(x):
+                    out.append((doc_id, item_id, len(x), hit, len(tiles), hit / len(x)))
             kinds = [pa.int64()] * 5 + [pa.float64()]
             cols = zip(*out, strict=True) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_words", "n_tiled", "n_tiles", "coverage"])
@@ -145,26 +220,13 @@ def _against(block: Block, least: int, coverage: float):
     return run
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``most`` words, streamed through the driver one block at a time."""
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"].split()) + 1
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += n
-    if held:
-        yield held
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, item_id, n_words, n_tiled, n_tiles, coverage)`` of each document and item it leaks."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, n_words long, n_tiled long, n_tiles long, coverage double"
-    out = None
-    for items in blocks(benchmark):
-        found = rows.mapInArrow(_against(Block(items, seed), least, coverage), schema)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    rows = keyed(docs)
+    items = keyed(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
+    pairs = cut(candidates(rows, items, least, coverage))
+    few = pairs.count() <= FEW
+    ends = F.broadcast(pairs) if few else pairs.hint("merge")
+    both = rows.select("rid", "doc_id", "text").join(ends, "rid")
+    both = both.join(items.select(F.col("rid").alias("iid"), F.col("doc_id").alias("item_id"), F.col("text").alias("item")), "iid")
+    return both.select("doc_id", "item_id", "text", "item").mapInArrow(_tiled(least, coverage), "doc_id long, item_id long, n_words long, n_tiled long, n_tiles long, coverage double")
