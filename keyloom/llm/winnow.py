@@ -8,7 +8,7 @@ Two fingerprints are compared by the Jaccard likeness of their hash sets (1 for
 
 Defined cases: null text is empty and has the empty fingerprint; the next document is the one of the next smaller id
 (after the smallest, the largest), a null id counting as smaller than any and rows of one id following each other in
-the order of their texts; a single document is its own next one; an empty table gives an empty result; extra columns
+the falling order of their texts, null last; a single document is its own next one; an empty table gives an empty result; extra columns
 are ignored. A text is held by one row at a time, however long.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import gram_hashes, parts_of, sliding_min
+from keyloom.llm.common import gram_hashes, keyed, parts_of, sliding_min
 
 K = 10
 WINDOW = 20
@@ -66,32 +66,25 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def followed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` with ``part`` and ``tail``: parts hold falling ids; a tail row is the next part's first again.
+def followed(rows: DataFrame) -> DataFrame:
+    """``rows(rid, ...)`` with ``part`` and ``tail``: parts hold falling row keys; a tail row is the next part's first again.
 
-    Only part bounds reach the driver. A text is shuffled once, and a part's first row once more.
+    Parts are ranges of row keys, which are unique, so none is larger than others; their first keys reach the driver, one
+    for each part. A text is shuffled once, and a part's first row once more.
     """
-    rows = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
-    n = max(1, parts_of(docs.sparkSession) * 4)
-    cuts = np.unique(np.array(rows.select("_k").approxQuantile("_k", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else [], np.float64).astype(np.int64))
-
-    @F.pandas_udf("int")
-    def part_of(k: pd.Series) -> pd.Series:
-        return pd.Series((len(cuts) - np.searchsorted(cuts, k.to_numpy(), side="left")).astype(np.int32))
-
-    heads = sorted((r["part"], r["k"]) for r in rows.select("_k", part_of("_k").alias("part")).groupBy("part").agg(F.max("_k").alias("k")).collect())
-    tops = np.array([k for _, k in heads][::-1], np.int64)  # rising
-    closes = np.roll(np.array([p for p, _ in heads], np.int32), 1)[::-1]  # the first part closes the last
+    n = parts_of(rows.sparkSession) * 4
+    ranged = rows.select("rid").repartitionByRange(n, F.desc("rid"))
+    tops = np.array(sorted(r["k"] for r in ranged.groupBy(F.spark_partition_id()).agg(F.max("rid").alias("k")).collect()), np.int64)
 
     @F.pandas_udf("array<int>")
     def dealt(k: pd.Series) -> pd.Series:
         v = k.to_numpy()
-        at = np.searchsorted(tops, v)
-        head = tops[np.minimum(at, len(tops) - 1)] == v
-        own = len(cuts) - np.searchsorted(cuts, v, side="left")
-        return pd.Series([[int(p), int(closes[i])] if h else [int(p)] for p, h, i in zip(own, head, at, strict=True)])
+        own = np.searchsorted(tops, v)  # the part whose first key is the least of those not below
+        head = tops[own] == v
+        closes = (own + 1) % len(tops)  # the first part closes the last
+        return pd.Series([[int(p), int(c)] if h else [int(p)] for p, c, h in zip(own, closes, head, strict=True)])
 
-    return rows.select("*", F.posexplode(dealt("_k")).alias("tail", "part"))
+    return rows.select("*", F.posexplode(dealt("rid")).alias("tail", "part"))
 
 
 class _Mark:
@@ -138,6 +131,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to each other and to the next text's."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = followed(rows).repartition(parts_of(docs.sparkSession), "part").sortWithinPartitions(F.col("part"), F.col("tail"), F.col("_k").desc(), F.col("text").asc_nulls_first())
+    rows = keyed(docs).select("rid", "doc_id", "text")
+    dealt = followed(rows).repartition(parts_of(docs.sparkSession), "part").sortWithinPartitions(F.col("part"), F.col("tail"), F.col("rid").desc())
     return dealt.select("doc_id", "text", "part", "tail").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
