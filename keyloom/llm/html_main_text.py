@@ -3,16 +3,20 @@
 A page is read into blocks (text between block-level tags, white space folded), each with the chain of elements it
 stands in. Three kinds follow: *furniture* (inside nav, header, footer, aside, form, script and the like, or inside an
 element whose class or id names a menu, notice, advert or comment list), *article* (inside article or main, and no
-furniture), *open* (neither). Pages of one host are put in the order of their URL paths and each is paired with the page
+furniture), *open* (neither). Within an article only sections are furniture by name, and only by a name that says nothing
+else (``comments``, ``reader-comments``, but not ``entry-header``); headings and paragraphs never are. Pages of one host are put in the order of their URL paths and each is paired with the page
 before it (the first of a host with the one after it); the lines of both are aligned by longest common subsequence, and
 shared lines that are not article are deleted. A page without any article block keeps its open blocks that survive.
 
 Differencing alone cannot give right results where a host's menus and notices differ from page to page, or where two
 pages carry the same article, so it never deletes an article block and is not asked about furniture.
 
-Defined cases: null html has the empty text; null urls form a host of their own; equal paths are ordered by page id;
-repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored. Pages at the edges of
-sorted partitions are paired in a second pass over these pages alone.
+Pages are dealt by ranges of (host, path, id) as they come and read once, where they are paired; of the pages at the edges
+of sorted partitions, two of each, only these are read again.
+
+Defined cases: null html has the empty text; quotes only count after an equals sign, and a tag or comment that is not closed
+ends with the page; a very long page is read by one row at a time; null urls form a host of their own; equal paths are ordered by page id;
+repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +44,12 @@ TABLE = 1 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that name furniture.
 NAMES = frozenset("ad ads advert adverts advertisement banner banners breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu menus nav navbar navigation newsletter notice notices pagination popup modal promo promoted related replies reactions respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets alert toast".split())
+#: Elements that a name can make furniture within an article, and words that say no more about a name there.
+SECTIONS = frozenset("div section ul ol dl table details figure header".split())
+PLAIN = frozenset("area bar block box container inner list main outer panel reader readers section the user users wrap wrapper".split())
 CLOSES_P = BLOCK - {"html", "body", "head"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW.split()}
@@ -56,9 +63,14 @@ def _furniture(tag: str, attrs: str, inside: bool) -> bool:
         return False
     if HIDDEN.search(attrs):
         return True
+    if inside and tag not in SECTIONS:
+        return False
     for m in NAMED.finditer(attrs):
-        if NAMES.intersection(SPLIT.split(next(x for x in m.groups() if x is not None).lower())):
-            return True
+        value = next(x for x in m.groups() if x is not None).lower()
+        for name in value.split() if inside else [value]:
+            said = set(SPLIT.split(name)) - {""}
+            if NAMES & said and (not inside or said <= NAMES | PLAIN and not said <= {"header", "search"} | PLAIN):
+                return True
     return False
 
 
@@ -190,18 +202,21 @@ KINDS = {"article": 0, "open": 1, "furniture": 2}
 KIND = list(KINDS)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [blocks(x or "") for x in b.column("html").to_pylist()]
-        kind = pa.array([[KINDS[k] for k, _ in r] for r in rows], pa.list_(pa.int8()))
-        line = pa.array([[t for _, t in r] for r in rows], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "path")), kind, line], names=["page_id", "url", "host", "path", "kind", "line"])
+Page = tuple[tuple[int | None, str | None, str], list[tuple[str, str]]]  # (id, url, host), blocks
 
 
-Page = tuple[tuple[int | None, str | None, str], list[tuple[str, str]]]  # (id, url, host), blocks
+def _raw(b: pa.RecordBatch) -> Iterator[tuple[tuple[int | None, str | None, str], str | None]]:
+    """(id, url, host) and html of each page."""
+    for page_id, url, host, page in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
+        yield (page_id, url, host), page
+
+
+def _read(page: tuple) -> Page:
+    return page[0], blocks(page[1] or "")
 
 
 def _pages(b: pa.RecordBatch) -> Iterator[Page]:
+    """Pages whose blocks were written by ``_edges``."""
     for page_id, url, host, kind, line in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "kind", "line")), strict=True):
         yield (page_id, url, host), [(KIND[k], t) for k, t in zip(kind, line, strict=True)]
 
@@ -221,7 +236,8 @@ def _paired(edges: bool):
         first = second = before = now = None
         out, seen = [], 0
         for b in batches:
-            for page in _pages(b):
+            for raw in _raw(b):
+                page = raw if edges else _read(raw)
                 # ``now`` is between ``before`` and ``page``; the first of a partition is left to the second pass
                 if seen > 1 and not edges:
                     out.append(_text(now, before, page))
@@ -236,6 +252,7 @@ def _paired(edges: bool):
         if seen > 1 and not alone and not edges:
             yield _texts([_text(now, before)])
         if edges and seen:
+            first, second, now = (p and _read(p) for p in (first, second, now))
             group, place = divmod(task, GROUP)
             rows = [(group, task, 0, first, True, second)]
             if seen > 1:
@@ -299,9 +316,8 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(rest, r"^//([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    read = rows.mapInArrow(_read, "page_id long, url string, host string, path string, kind array<tinyint>, line array<string>")
     order = ["host", "path", "page_id"]
-    dealt = read.repartitionByRange(parts_of(pages.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(parts_of(pages.sparkSession), *order).sortWithinPartitions(*order)
     kinds = "page_id long, url string, text string, n_differenced long"
     edges = dealt.mapInArrow(_paired(True), EDGE).repartition(parts_of(pages.sparkSession), "part").sortWithinPartitions("part", "task", "seq")
     return dealt.mapInArrow(_paired(False), kinds).unionByName(edges.mapInArrow(_joined, kinds))
