@@ -93,8 +93,8 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 OP7_SQL = """
 WITH r AS (
   SELECT page_id, page_id // 1024 AS file, substr(md5(CAST(page_id AS VARCHAR)), 1, 1) AS fate,
-         strlen('WARC/1.1' || 'WARC-Type: resource' || 'WARC-Target-URI: ' || url || 'WARC-Record-ID: <urn:page:' || page_id || '>'
-                || 'Content-Type: text/html' || 'Content-Length: ' || strlen(html) || html) + 7 * 2 + 4 AS length
+         strlen('WARC/1.1' || 'WARC-Type: resource' || 'WARC-Date: 1970-01-01T00:00:00Z' || 'WARC-Target-URI: ' || url || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+                || 'Content-Type: text/html' || 'Content-Length: ' || strlen(html) || html) + 8 * 2 + 4 AS length
   FROM pages)
 SELECT * FROM (
   SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",

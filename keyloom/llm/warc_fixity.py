@@ -5,11 +5,11 @@ ranges: 64 KiB, 1 MiB and 16 MiB of a file, the file, then groups of 256 files,
 replicas with equal roots are equal; otherwise only the children of mismatching nodes are compared, level by level,
 down to the records. Every node has a bounded number of children, so no group is ever large.
 
-Records are digested once for each replica; digests with their places, and each level above them, are checkpointed;
-texts never move.
+Records are digested once for each replica; digests with their places, and each level above them, are written once in the
+shared folder; texts never move.
 
-Defined cases: null url or html is empty; a null page id is written as an empty id and belongs to the first file;
-repeated pages are records of their own, in the order of their digests; an empty table gives an empty audit, and every
+Defined cases: null url or html is empty; a null page id is written as an empty id, and such records are dealt to files of
+their own by their digests; a very long page is one record; repeated pages are records of their own, in the order of their digests; an empty table gives an empty audit, and every
 record of the other replica is then missing or extra; extra columns are ignored.
 """
 
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut
 
-#: Pages of one archive file.
-FILE_PAGES = 1024
+#: Pages of one archive file, and files (numbered below zero) that pages without an id are dealt to.
+FILE_PAGES, LOOSE_FILES = 1024, 1 << 22
+#: The date that records are written with.
+DATE = "1970-01-01T00:00:00Z"
 #: Bytes of offset ranges as powers of two, and files in a group as powers of two.
 RANGES = (16, 20, 24)
 GROUPS = (8, 16, 24)
@@ -33,7 +35,7 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     """The bytes of a page's WARC record."""
     body = F.coalesce(html, F.lit("")).cast("binary")
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "),
+        F.lit(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         F.coalesce(url, F.lit("")),
         F.lit("\r\nWARC-Record-ID: <urn:page:"),
         F.coalesce(page_id.cast("string"), F.lit("")),
@@ -64,7 +66,9 @@ def records(pages: DataFrame, stored: Column | None = None) -> DataFrame:
     """
     page_id = F.col("page_id").cast("long")
     rows = pages.select(page_id.alias("page_id"), record(page_id, F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
-    rows = rows.select("page_id", F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), F.lit(0)).alias("file"), F.octet_length("record").cast("long").alias("length"), F.unhex(F.sha2("record", 256)).alias("written"), F.unhex(F.sha2(F.col("record") if stored is None else stored, 256)).alias("digest"))
+    rows = rows.select("page_id", F.octet_length("record").cast("long").alias("length"), F.unhex(F.sha2("record", 256)).alias("written"), F.unhex(F.sha2(F.col("record") if stored is None else stored, 256)).alias("digest"))
+    loose = -1 - F.pmod(F.xxhash64("written"), F.lit(LOOSE_FILES))
+    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), loose))
     place = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "written")
     before = F.coalesce(F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.select("page_id", "file", before.alias("offset"), "length", "digest")
