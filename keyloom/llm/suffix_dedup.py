@@ -21,7 +21,11 @@ or same document and earlier start). How the whole corpus gets there without one
    strings over that alphabet), so ten rounds give the intervals of 100 repeated bytes.
 4. In each interval all but the earliest start are repeats; covered bytes are united per document.
 
-Defined cases: null text is empty; texts under 100 bytes are never touched; null ids sort before all ids and repeated
+What one task holds is bounded: a group of at most ``hottest`` passages (176 bytes each) or one string once for each part, a part
+of the documents, and the hashes of one range, a ``MOST_RANGES``-th of all anchors or the share of a task, if that is more.
+Sketches have a row only where a part has anchors in a range, so they are never more rows than anchors.
+
+Defined cases: null text is empty; texts under 100 bytes are never touched; a very long text is read in slices that overlap; null ids sort before all ids and repeated
 ids are told apart by their texts' order; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -44,7 +48,9 @@ PIECE = 20
 #: Bytes of passages merged at once, and of one shard.
 BUCKET, SHARD = 1 << 19, 1 << 16
 #: Parts of documents for each shuffle partition, and the most ranges that anchors' hashes are dealt to.
-PARTS_A_TASK, MOST_RANGES = 4, 1 << 15
+PARTS_A_TASK, MOST_RANGES = 4, 1 << 19
+#: Occurrences of an anchor beyond which its passages are cut into pieces, and into single strings.
+HOT, HOTTEST = 256, 1 << 15
 
 
 def anchors(bufs: list[bytes], min_len: int) -> tuple[np.ndarray, ...]:
@@ -375,8 +381,8 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["rid", "start", "stop"])
 
 
-def _apply(docs: pa.Table, cover: pa.Table) -> pa.Table:
-    """A part's texts and repeats -> what is kept of each text."""
+def _apply(docs: pa.Table, cover: pa.Table, as_text: bool = False) -> pa.Table:
+    """A part's texts and repeats -> what is kept of each text, as bytes, or as text without code points that were cut into."""
     spans: dict[int, list[tuple[int, int, int]]] = {}
     for x in united(list(zip(*(cover.column(c).to_pylist() for c in ("rid", "start", "stop")), strict=True))):
         spans.setdefault(x[0], []).append(x)
@@ -392,21 +398,19 @@ def _apply(docs: pa.Table, cover: pa.Table) -> pa.Table:
         sizes.append(len(buf))
         removed.append(len(buf) - len(kept[-1]))
         runs.append(len(spans.get(rid, ())))
-    return pa.table([docs.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), docs.column("rest")], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"])
-
+    left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+    return pa.table([docs.column("doc_id"), left, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), docs.column("rest")], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"])
 
-def decoded(kept: str):
-    """Text of kept bytes; code points that a removal has cut into are left out."""
 
-    @F.pandas_udf("string")
-    def decode(x):
-        return x.map(lambda b: b.decode("utf-8", "ignore"))
+def _apply_as_text(docs: pa.Table, cover: pa.Table) -> pa.Table:
+    return _apply(docs, cover, True)
 
-    return decode(kept)
 
+def dedup(docs: DataFrame, min_len: int = 100, hot: int = HOT, hottest: int = HOTTEST, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """``(doc_id, kept, n_bytes, n_removed, n_spans, *carry)`` for each row of ``docs(doc_id, text, *carry)``.
 
-def dedup(docs: DataFrame, min_len: int = 100, hot: int = 256, hottest: int | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``(doc_id, kept, n_bytes, n_removed, n_spans, *carry)`` for each row of ``docs(doc_id, text, *carry)``; kept is binary."""
+    ``kept`` is binary, or with ``as_text`` a string from which code points that a removal has cut into are left out.
+    """
     if min_len % STEP or min_len <= GRAM:
         raise ValueError(f"min_len must be a multiple of {STEP} over {GRAM}")
     n = parts_of(docs.sparkSession)
@@ -416,11 +420,11 @@ def dedup(docs: DataFrame, min_len: int = 100, hot: int = 256, hottest: int | No
     sketches = text.mapInArrow(_sketches(min_len, ranges), "range int, part int, f binary, c binary")
     sketches = sketches.repartition(ranges, "range").sortWithinPartitions("range")
     often = sketches.mapInArrow(_repeated, "part int, f binary, c binary").repartition(n, "part")
-    found = text.groupBy("part").cogroup(often.groupBy("part")).applyInArrow(_passages(min_len, hot, hottest or max(hot, 32 * parts)), "gid long, passage binary, rid long, start long, stop long")
+    found = text.groupBy("part").cogroup(often.groupBy("part")).applyInArrow(_passages(min_len, hot, max(hot, hottest)), "gid long, passage binary, rid long, start long, stop long")
     found = found.repartition(n, F.coalesce("gid", F.xxhash64("rid", "start"))).sortWithinPartitions("gid")
     gone = found.mapInArrow(_merge_or_pass(min_len), "rid long, start long, stop long").withColumn("part", part).repartition(n, "part")
-    kinds = f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, rest {dict(text.dtypes)['rest']}"
-    out = text.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_apply, kinds)
+    kinds = f"doc_id long, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long, rest {dict(text.dtypes)['rest']}"
+    out = text.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_apply_as_text if as_text else _apply, kinds)
     return out.select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", *(f"rest.`{c}`" for c in carry or ()))
 
 
