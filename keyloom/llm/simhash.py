@@ -10,11 +10,13 @@ fingerprint to ``PIVOTS`` reference fingerprints are computed once; by the trian
 to any reference differ by more than 3 cannot link and is discarded; survivors are verified bit by bit. A bucket is
 walked as a breadth-first search over its unvisited fingerprints, so it yields a spanning forest (at most one link per
 fingerprint), never all pairs. Only distinct fingerprints are bucketed: any number of exact copies is one entry, and a
-ball of Hamming radius 3 bounds what near copies can add.
+ball of Hamming radius 3 bounds what near copies can add. Fingerprints that very many documents have, and components of very
+many fingerprints, are broadcast to their rows (``common.spread``), so no key gathers its rows in one task.
 
 Defined cases: null or blank text has no words and fingerprint zero, which links like any other; fewer words than a
 shingle make one shingle; a null id is kept, and counts for no component's smallest id (null if no other is there);
-repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
+repeated rows are kept; a very long text is hashed in slices, by one row at a time; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, cut, parts_of, texts
+from keyloom.llm.common import components, cut, parts_of, spread, texts
 
 SHINGLE = 3
 SEED = 42
@@ -38,19 +40,28 @@ PIVOTS = 24
 SLICE = 1 << 15
 
 
-def fingerprint(text: str) -> int:
-    """Signed 64-bit fingerprint of a text."""
+def hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order; fewer words than a shingle make one, no words none."""
     words = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
-    n = len(words) - SHINGLE + 1
-    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if n > 0 else iter([b" ".join(words)])
-    n = max(n, 1)
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    h = np.fromiter((digest(g, SEED) for g in grams), np.uint64, n)
-    for i in range(0, n, SLICE):
+        return np.empty(0, np.uint64)
+    n = len(words) - shingle + 1
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if n > 0 else iter([b" ".join(words)])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, max(n, 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), SLICE):
         ones += np.unpackbits(h[i : i + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
+
+
+def fingerprint(text: str) -> int:
+    """Signed 64-bit fingerprint of a text."""
+    return majority(hashes(text))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +140,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs(doc_id, text)``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(ids.hint("merge"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = cut(nodes.join(found.hint("merge"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    ids = spread(labelled.withColumnRenamed("n", "rows"), cut(least), "root").select("fp", "component_id", F.col("rows").alias("n"))
+    out = spread(rows, cut(ids), "fp")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
