@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, parts_of, texts
+from keyloom.llm.common import cut, one_thread, parts_of, texts
 
 SIDE = 2
 DIM = 16
@@ -43,11 +43,12 @@ PAD = -1
 KNOWN = 200_000
 ROUNDS = 2
 MASK = 2
-STEP = 8192
+STEP = 16384
 RATE = 0.1
+MOST = np.float32(60)
 SLICE = 1 << 16
 WORD_BYTES = 64
-COUNTED = 300_000
+COUNTED = 500_000
 BLOCKS = 16
 
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
@@ -83,7 +84,10 @@ def bucket(word: str, n: int) -> int:
 
 def tokens(text: str) -> list[str]:
     """The words of a text; a digest of 65 characters stands for a longer one than ``WORD_BYTES``."""
-    return [w if len(w) <= WORD_BYTES else "#" + hashlib.sha256(w.encode()).hexdigest() for w in text.lower().split()]
+    found = text.lower().split()
+    if max(map(len, found), default=0) <= WORD_BYTES:
+        return found
+    return [w if len(w) <= WORD_BYTES else "#" + hashlib.sha256(w.encode()).hexdigest() for w in found]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,42 +173,47 @@ class Network:
         return net
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[0][context[0]] + self.lift
+        h = self.embed[0].take(context[0], axis=0, mode="wrap")
+        h += self.lift
         for j in range(1, len(PLACES)):
-            h += self.embed[j][context[j]]
+            h += self.embed[j].take(context[j], axis=0, mode="wrap")
         return np.tanh(h, out=h)
 
+    def _by_class(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Class of each word, the places in the order of classes, and (class, from, to) of those that occur."""
+        cls = word % self.classes
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        return cls, order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log P of each word (an id) given its context (places x words)."""
         h = self.hidden(context)
-        cls, member = word % self.classes, word // self.classes
-        out = _picked(h @ self.cw + self.cb, cls)
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            mine = order[edges[c] : edges[c + 1]]
-            if len(mine):
-                out[mine] += _picked(h[mine] @ self.ww[c] + self.wb[c], member[mine])
+        cls, order, runs = self._by_class(word)
+        out = _picked(self.cw.T @ h.T + self.cb[:, None], cls)
+        h, member = h[order], (word // self.classes)[order]
+        within = np.empty(len(word), out.dtype)
+        for c, a, b in runs:
+            within[a:b] = _picked(self.ww[c].T @ h[a:b].T + self.wb[c][:, None], member[a:b])
+        out[order] += within
         return out
 
     def learn(self, context: np.ndarray, word: np.ndarray, seen: Network) -> None:
         """One Adagrad step on a batch; ``seen`` holds the sums of squared gradients."""
         n = np.float32(len(word))
         h = self.hidden(context)
-        cls, member = word % self.classes, word // self.classes
-        e = _slope(h @ self.cw + self.cb, cls) / n
-        back = e @ self.cw.T
-        steps = [("cw", h.T @ e), ("cb", e.sum(axis=0))]
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        ww, wb = np.zeros_like(self.ww), np.zeros_like(self.wb)
-        for c in range(self.classes):
-            mine = order[edges[c] : edges[c + 1]]
-            if len(mine):
-                hc = h[mine]
-                ec = _slope(hc @ self.ww[c] + self.wb[c], member[mine]) / n
-                back[mine] += ec @ self.ww[c].T
-                ww[c], wb[c] = hc.T @ ec, ec.sum(axis=0)
+        cls, order, runs = self._by_class(word)
+        e = _slope(self.cw.T @ h.T + self.cb[:, None], cls) / n
+        back = e.T @ self.cw.T
+        steps = [("cw", (e @ h).T), ("cb", e.sum(axis=1))]
+        sorted_h, member = h[order], (word // self.classes)[order]
+        ww, wb, within = np.zeros_like(self.ww), np.zeros_like(self.wb), np.empty_like(h)
+        for c, a, b in runs:
+            hc = sorted_h[a:b]
+            ec = _slope(self.ww[c].T @ hc.T + self.wb[c][:, None], member[a:b]) / n
+            within[a:b] = ec.T @ self.ww[c].T
+            ww[c], wb[c] = (ec @ hc).T, ec.sum(axis=1)
+        back[order] += within
         back *= 1 - h * h
         for name, grad in [*steps, ("ww", ww), ("wb", wb), ("lift", back.sum(axis=0))]:
             acc, x = getattr(seen, name), getattr(self, name)
@@ -215,22 +224,26 @@ class Network:
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             head = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            grad, rows = np.add.reduceat(back[order], head, axis=0), ids[head]
-            seen.embed[j][rows] += grad * grad
-            self.embed[j][rows] -= np.float32(RATE) * grad / (np.sqrt(seen.embed[j][rows]) + np.float32(1e-6))
+            grad, rows = np.add.reduceat(back.take(order, axis=0), head, axis=0), ids[head]
+            squares = seen.embed[j][rows] + grad * grad
+            seen.embed[j][rows] = squares
+            self.embed[j][rows] -= np.float32(RATE) * grad / (np.sqrt(squares) + np.float32(1e-6))
+
 
+# Logits have a row for each outcome and a column for each word, so that sums over outcomes run along whole columns at once.
+# They are held below ``MOST``, of which the exponential is finite, in training and in scores alike.
 
 def _picked(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    at = logits[np.arange(len(right)), right]
-    return at - np.log(np.exp(logits, out=logits).sum(axis=1))
+    np.minimum(logits, MOST, out=logits)
+    at = logits[right, np.arange(len(right))]
+    return at - np.log(np.exp(logits, out=logits).sum(axis=0))
 
 
 def _slope(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    np.minimum(logits, MOST, out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(right)), right] -= 1
+    logits /= logits.sum(axis=0)
+    logits[right, np.arange(len(right))] -= 1
     return logits
 
 
@@ -283,6 +296,7 @@ def targets(docs: list[np.ndarray], turn: int, stride: int) -> np.ndarray:
 
 def _train(vocab: int, start: np.ndarray, turn: int, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         net, seen = Network(start.copy(), vocab), Network(np.full(len(start), 1e-8, np.float32), vocab)
         held: list[np.ndarray] = []
         size = learnt = task = 0
@@ -371,6 +385,7 @@ def scored(rows: DataFrame, counts: DataFrame, net: Network) -> DataFrame:
     flat, vocab = net.flat, net.vocab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         own = Network(flat, vocab)
         for b in batches:
             held = _ids(b, np.min_scalar_type(vocab))
