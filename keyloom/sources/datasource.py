@@ -33,17 +33,26 @@ class KvReader(DataSourceReader):
         self.path, self.terms = path, []
 
     def partitions(self) -> list[InputPartition]:
-        """The snapshot's files, and one partition for the deltas (named by an empty file)."""
-        import pyarrow.dataset as ds
+        """A partition for each file of the snapshot, with the range of keys from its first key to the next file's.
 
-        fs, root = _filesystem(self.path)
+        Files are ranges of keys, so a task needs no more of the deltas than its own range; the first and the last range
+        are open.
+        """
+        import pyarrow.dataset as ds
         import pyarrow.fs as pfs
 
+        fs, root = _filesystem(self.path)
         last = max(f.path for f in fs.get_file_info(pfs.FileSelector(root)) if f.base_name.startswith("_CURRENT."))
         with fs.open_input_file(last) as f:
             _, base, *deltas = f.read().decode().split()
-        files = ds.dataset(f"{root}/{base}", filesystem=fs, format="parquet").files
-        return [InputPartition((x, deltas)) for x in files] + [InputPartition(("", deltas))]
+        firsts = []
+        for name in ds.dataset(f"{root}/{base}", filesystem=fs, format="parquet").files:
+            head = ds.dataset(name, filesystem=fs, format="parquet").head(1, columns=["key"])
+            if head.num_rows:
+                firsts.append((head.column("key")[0].as_py(), name))
+        firsts.sort()
+        bounds = [None, *(k for k, _ in firsts[1:]), None]
+        return [InputPartition((name, deltas, lo, hi)) for name, lo, hi in zip([n for _, n in firsts] or [""], bounds, bounds[1:], strict=False)]
 
     def read(self, partition: InputPartition) -> Iterator:
         import pyarrow as pa
@@ -51,21 +60,24 @@ class KvReader(DataSourceReader):
         import pyarrow.dataset as ds
 
         fs, root = _filesystem(self.path)
-        test, key = None, ds.field("key")
+        file, deltas, lo, hi = partition.value
+        key = ds.field("key")
+        tests = [key >= lo] * (lo is not None) + [key < hi] * (hi is not None)
         for op, v in self.terms:
-            one = {"=": lambda: key == v, ">": lambda: key > v, ">=": lambda: key >= v, "<": lambda: key < v, "<=": lambda: key <= v, "in": lambda: key.isin(list(v)), "^": lambda: key >= v}[op]()  # noqa: B023
+            tests.append({"=": lambda: key == v, ">": lambda: key > v, ">=": lambda: key >= v, "<": lambda: key < v, "<=": lambda: key <= v, "in": lambda: key.isin(list(v)), "^": lambda: key >= v}[op]())  # noqa: B023
+        test = None
+        for one in tests:
             test = one if test is None else test & one
-        file, deltas = partition.value
-        last: dict[str, tuple[int, str | None]] = {}  # of the keys that pass the filters; deltas are kept small
+        last: dict[str, tuple[int, str | None]] = {}  # of the keys in this range that pass the filters
         for name in deltas:
-            for r in ds.dataset(f"{root}/{name}", filesystem=fs, format="parquet").to_table(filter=test).to_pylist():
-                last[r["key"]] = r["phase"], r["value"]
-        if not file:
-            puts = [(k, v) for k, (phase, v) in last.items() if phase]
+            for b in ds.dataset(f"{root}/{name}", filesystem=fs, format="parquet").to_batches(filter=test):
+                for r in b.to_pylist():
+                    last[r["key"]] = r["phase"], r["value"]
+        puts = [(k, v) for k, (phase, v) in last.items() if phase]
+        if puts:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in puts], pa.string()) for i in (0, 1)], names=["key", "value"])
-            return
         changed = pa.array(list(last), pa.string())
-        for b in ds.dataset(file, filesystem=fs, format="parquet").to_batches(columns=["key", "value"], filter=test):
+        for b in ds.dataset(file, filesystem=fs, format="parquet").to_batches(columns=["key", "value"], filter=test) if file else ():
             yield b.filter(pc.invert(pc.is_in(b.column("key"), changed))) if last else b
 
 

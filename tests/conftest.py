@@ -20,6 +20,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp())
+        .config("spark.checkpoint.dir", tempfile.mkdtemp())
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

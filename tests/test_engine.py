@@ -253,7 +253,7 @@ def test_discovery(engine, spark):
     assert discovery.discover(kv, KeyPattern("none/{a}/{attr}")) == {"attrs": [], "keys_scanned": 0, "keys_matched": 0}
     assert {"tool##", "seed:"} <= {r[0] for r in discovery.list_prefixes(kv, 1).collect()} and discovery.list_prefixes(kv, 0).count() == 0
     assert discovery.infer_pattern(kv.where("key like 'tool%'")) == "tool##{col1}##{col2}##{attr}"
-    assert discovery.infer_pattern_of(["x1/y1/z1", "x2/y2/z1"]) == "{col1}/{col2}/{attr}"
+    assert discovery.infer_pattern_of(["x1/y1/z1", "x1/y2/z2", "x2/y2/z2"]) == "{col1}/{col2}/{attr}"
     assert discovery.infer_pattern_of([]) is None and discovery.infer_pattern_of(["alone"]) is None
 
 
@@ -417,6 +417,25 @@ def test_data_source(spark, engine):
     assert got(load().where("key = 'k5'")) == [("k5", "new")] and load().where("key = 'k3'").count() == 0 and load().count() == 19
 
 
+def test_data_source_of_several_files(spark, tmp_path):
+    """Each task has the changes of its own file's keys, those before the first and after the last key included."""
+    from keyloom.sources.datasource import KvReader, register
+
+    store = KvStore(spark, f"{tmp_path}/kv", create_if_missing=True, read_only=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.commit(spark.createDataFrame([(f"k{i:03d}", str(i)) for i in range(400)], "key string, value string"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    store.apply(spark.createDataFrame([("k005", 0, 0, None), ("a", 1, 1, "first"), ("zz", 1, 2, "last"), ("k250", 1, 3, "new")], OPS))
+    store.apply(spark.createDataFrame([("zz", 0, 0, None), ("k005", 1, 1, "back"), ("zzz", 1, 2, "end")], OPS))
+    register(spark)
+    assert len(KvReader(store.path).partitions()) > 1
+    got = [tuple(r) for r in spark.read.format("keyloom_kv").option("path", store.path).load().collect()]
+    want = {f"k{i:03d}": str(i) for i in range(400)} | {"a": "first", "k250": "new", "k005": "back", "zzz": "end"}
+    assert len(got) == len(want) and dict(got) == want == dict(map(tuple, store.read().collect()))
+
+
 def test_leveldb(spark, tmp_path, engine):
     from keyloom.sources.leveldb_io import export_store, import_store
 
