@@ -4,10 +4,12 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline as p
-from tests.llm.test_operators import brute_components, brute_dedup, brute_fingerprint, words
+from keyloom.llm import near_copies, quality
+from tests.llm.test_operators import brute_dedup, words
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,6 +34,25 @@ def corpus(spark, tmp_path_factory):
     return d, docs, passage
 
 
+def brute_near_copies(docs):
+    """The least id of each component of documents whose five-word shingles are 0.8 alike."""
+    split = {i: t.encode().lower().split() for i, t in docs.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in split.items()}
+    at = {i: i for i in docs}
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i in docs:
+        for j in docs:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                at[b] = a
+    return {find(i) for i in docs}
+
+
 def test_stages(spark, corpus, tmp_path):
     d, docs, passage = corpus
     df = spark.read.parquet(f"{d}/documents.parquet")
@@ -44,9 +65,7 @@ def test_stages(spark, corpus, tmp_path):
         if name == "quality":
             assert set(before) - set(after) == set(range(200, 240)) and all(before[i] == t for i, t in after.items())
         elif name == "near_dedup":
-            ids = sorted(before)
-            root = brute_components([brute_fingerprint(before[i]) for i in ids])
-            assert set(after) == {min(i for i, x in zip(ids, root, strict=True) if x == r) for r in root} and {300} <= set(before) - set(after)
+            assert set(after) == brute_near_copies(before) and {300, 301} <= set(before) - set(after)
         elif name == "passage_dedup":
             want = {i: kept.decode("utf-8", "ignore") for i, kept, n, gone, _ in brute_dedup(list(before.items())) if kept or not gone}
             assert after == want and passage in after[302] and passage not in after[303]
@@ -59,11 +78,23 @@ def test_stages(spark, corpus, tmp_path):
 
 
 def test_odd_rows(spark, corpus):
-    d, _, _ = corpus
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "some text here", None, None, 5), (3, "x" * 50_000, "en", "s", 1), (4, "a b c", "en", None, 5), (4, "a b d", "en", None, 5)]
+    """Nulls, empty, long and repeated rows, and columns whose names clash: what each stage keeps."""
+    d, docs, _ = corpus
+    long = "x" * 50_000 + " " + docs[3] * 40
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "some text here", None, None, 5), (None, "some text here", "en", "s", 5), (3, long, "en", "s", 1), (4, "a b c", "en", None, 5), (4, "a b d", "en", None, 5), (5, long, "de", "t", 1)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], COLS + ", part string")
+    said = lambda x: sorted(map(str, x))
+    kept = {name: [tuple(r) for r in stage(spark, df, d).collect()] for name, stage in p.STAGES}
+    model = quality.fit(df, spark.read.parquet(f"{d}/labels.parquet"))
+    good = {t for _, t, *_ in rows if model.score(np.array([quality.statistics(t or "")]))[0] >= quality.THRESHOLD}
+    assert said(kept["quality"]) == said((*r, "extra") for r in rows if r[1] in good)
+    assert said((r[0], r[1]) for r in kept["near_dedup"]) == said([(1, None), (None, "some text here"), (3, long), (4, "a b c"), (4, "a b d")])
+    cut = {(i, k.decode("utf-8", "ignore")) for i, k, _, gone, _ in brute_dedup([r[:2] for r in rows]) if k or not gone}
+    assert {(r[0], r[1] or "") for r in kept["passage_dedup"]} == cut and len(kept["passage_dedup"]) == len(rows) - 1  # nothing is left of the second long one
+    assert said(kept["benchmark"]) == said((*r, "extra") for r in rows)
+    mixed = p.mix(spark, df, d).collect()
+    assert sorted(r["position"] for r in mixed) == list(range(len(rows))) and said((r["doc_id"], r["source"]) for r in mixed) == said((r[0], r[3]) for r in rows)
     for _, stage in p.STAGES:
-        assert stage(spark, df, d).count() >= 0
         assert stage(spark, df.limit(0), d).count() == 0
 
 
@@ -77,7 +108,7 @@ def test_rows_with_odd_ids(spark, corpus):
     assert texts(p.benchmark_filter) == sorted((i or 0, t) for i, t in rows if not t.startswith(leak))
 
 
-def test_near_copies_of_edited_words(spark, tmp_path):
+def test_near_copies_of_edited_words(spark, monkeypatch):
     rng = random.Random(3)
     docs = {}
     for i in range(60):
@@ -88,21 +119,27 @@ def test_near_copies_of_edited_words(spark, tmp_path):
             v[rng.randrange(90)] = f"edit{k}"
             docs[100 * i + k] = " ".join(v)
     docs |= {9000 + i: docs[0] for i in range(3)} | {9100: "", 9101: "  "}
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in docs.items()}
-    at = {i: i for i in docs}
-
-    def find(x):
-        while at[x] != x:
-            x = at[x]
-        return x
-
-    for i in docs:
-        for j in docs:
-            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                at[b] = a
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()], COLS)
-    assert {r["doc_id"] for r in p.near_dedup(spark, df, "").collect()} == {find(i) for i in docs} and len({find(i) for i in docs}) < 70
+    want = brute_near_copies(docs)
+    for few in (near_copies.FEW, 0):
+        monkeypatch.setattr(near_copies, "FEW", few)
+        assert {r["doc_id"] for r in p.near_dedup(spark, df, "").collect()} == want and len(want) < 70
+
+
+def test_prefixes_find_all_near_copies(spark):
+    """The exact join finds every pair of other components, also among edited copies of one text and shared passages."""
+    rng = random.Random(6)
+    base, passage = words(rng, 120, 10**5).split(), words(rng, 40, 10**5)
+    docs = []
+    for i in range(160):
+        v = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            v[rng.randrange(len(v))] = f"e{rng.randrange(12)}"
+        docs.append((i, i, " ".join(v[rng.randrange(0, 9) :]) if i % 2 else passage + " " + words(rng, rng.randrange(5, 80), 10**5)))
+    sets = [near_copies.shingles(t) for *_, t in docs]
+    near = {(i, j) for i in range(160) for j in range(i + 1, 160) if near_copies.jaccard(sets[i], sets[j]) >= 0.8}
+    found = {tuple(r) for r in near_copies.cross_pairs(spark.createDataFrame(docs, "rid long, root long, text string")).collect()}
+    assert near and near <= found
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
