@@ -31,6 +31,8 @@ TREES, DEPTH = 80, 4
 RATE, L2, LEAST_ROWS = 0.15, 1.0, 8
 THRESHOLD = 0.3
 FOLDS = 5
+#: Rows whose texts are scored at once.
+SLICE = 2048
 
 STATS = "log_chars log_words word_length upper digits symbols stops marks non_latin spaces same_next distinct top_word line_length same_lines short_words long_words ends_odd".split()
 
@@ -179,15 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return grow(np.array(got["x"].tolist(), np.float64).reshape(len(got), len(STATS)), got["y"].to_numpy(np.float64))
 
 
+def _statistics(some: list[str]) -> np.ndarray:
+    return np.array([statistics(t) for t in some], np.float64).reshape(len(some), len(STATS))
+
+
 def scored(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
-                x = np.array([statistics(t) for t in texts(part)], np.float64).reshape(part.num_rows, len(STATS))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(_statistics(texts(part))))], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -198,7 +203,8 @@ def kept(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFra
 
     @F.pandas_udf("double")
     def score(text):
-        return _series(model.score(np.array([statistics(t or "") for t in text], np.float64).reshape(len(text), len(STATS))))
+        parts = (text.iloc[i : i + SLICE] for i in range(0, len(text), SLICE))
+        return _series(np.concatenate([np.empty(0), *(model.score(_statistics([t or "" for t in part])) for part in parts)]))
 
     return docs.where(score(F.col("text")) >= threshold)
 
