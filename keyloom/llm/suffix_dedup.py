@@ -381,7 +381,7 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["rid", "start", "stop"])
 
 
-def _apply(docs: pa.Table, cover: pa.Table, as_text: bool = False) -> pa.Table:
+def _kept(docs: pa.Table, cover: pa.Table, as_text: bool) -> pa.Table:
     """A part's texts and repeats -> what is kept of each text, as bytes, or as text without code points that were cut into."""
     spans: dict[int, list[tuple[int, int, int]]] = {}
     for x in united(list(zip(*(cover.column(c).to_pylist() for c in ("rid", "start", "stop")), strict=True))):
@@ -402,8 +402,12 @@ def _apply(docs: pa.Table, cover: pa.Table, as_text: bool = False) -> pa.Table:
     return pa.table([docs.column("doc_id"), left, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), docs.column("rest")], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
+def _apply(docs: pa.Table, cover: pa.Table) -> pa.Table:
+    return _kept(docs, cover, False)
+
+
 def _apply_as_text(docs: pa.Table, cover: pa.Table) -> pa.Table:
-    return _apply(docs, cover, True)
+    return _kept(docs, cover, True)
 
 
 def dedup(docs: DataFrame, min_len: int = 100, hot: int = HOT, hottest: int = HOTTEST, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
