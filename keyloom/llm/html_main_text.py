@@ -38,7 +38,7 @@ RAW = "script style template noscript iframe svg canvas object textarea title"
 FURNITURE = frozenset("nav footer aside form button select dialog menu label fieldset".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Partitions whose edge pages (two of each) meet in one task.
-GROUP = 64
+GROUP = 8
 #: Cells of a table of common subsequence lengths that is held whole.
 TABLE = 1 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

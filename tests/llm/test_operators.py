@@ -374,11 +374,12 @@ def test_pairs_across_partitions(spark):
     line = lambda i: f"<body><div>Menu {i // 4}</div><p>Text {i}</p><div>Menu {(i + 1) // 4}</div></body>"
     rows = [(i, f"http://h{i // 30}.org/a/{i:04d}", line(i)) for i in range(180)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    was, html_main_text.GROUP = html_main_text.GROUP, 2
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 5 * html_main_text.GROUP)  # edges of several groups
     try:
         got = {r["page_id"]: r["text"] for r in html_main_text.extract(pages).collect()}
     finally:
-        html_main_text.GROUP = was
+        spark.conf.set("spark.sql.shuffle.partitions", was)
     read = [html_main_text.blocks(h) for _, _, h in rows]
     for i in range(180):
         pair = i - 1 if i % 30 else i + 1
