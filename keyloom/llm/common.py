@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A value with more than one row in so many is hot.
 HOT = 4096
+#: Nodes of a graph whose neighbours are dealt to several groups.
+HUBS = 1024
 #: Rows of a text column handled by numpy at once.
 CHUNK_BYTES = 1 << 18
 
@@ -138,19 +140,22 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges(a, b)`` (longs); root is the smallest node.
 
     Each round links every node's neighbours, and the node itself, to the smallest of them (hash-to-min), in one shuffle
-    and in a stream, until only stars are left. A node with more than a 1024th of all neighbours has them dealt to 64 groups
-    that find their smallest for themselves; such nodes are fewer than 1024, and only they reach the driver.
+    and in a stream, until only stars are left. The ``HUBS`` nodes of most neighbours have them dealt to 64 groups, each of
+    which is told the smallest of all; only these nodes reach the driver, and no other has over a ``HUBS``-th of all neighbours.
     """
     n = parts_of(edges.sparkSession)
     e = cut(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        degrees = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
-        hubs = degrees.where(F.col("n") > max(1000, 2 * e.count() // 1024)).collect()
+        degrees = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least")).where("n > 100")
+        hubs = degrees.orderBy(F.desc("n"), "u").limit(HUBS).collect()
         salt = F.when(F.col("u").isin([r["u"] for r in hubs]), F.pmod(F.xxhash64("v"), F.lit(64))).otherwise(0) if hubs else F.lit(0)
-        dealt = both.withColumn("salt", salt.cast("long")).repartition(n, "u", "salt").sortWithinPartitions("u", "salt", "v")
+        both = both.withColumn("salt", salt.cast("long"))
+        if hubs:  # each group of a node knows the smallest neighbour of the whole node
+            both = both.unionByName(edges.sparkSession.createDataFrame([(r["u"], r["least"], k) for r in hubs for k in range(64)], "u long, v long, salt long"))
+        dealt = both.repartition(n, "u", "salt").sortWithinPartitions("u", "salt", "v")
         e = cut(dealt.mapInArrow(_stars, "u long, v long, open boolean"))
-        if not any(r["least"] < r["u"] for r in hubs) and e.where("open").limit(1).isEmpty():
+        if not any(r["least"] < r["u"] for r in hubs) and not e.agg(F.max("open")).first()[0]:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
